@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.compression_rules import score_quality
 from tickloom.llm.differencing import shard_groups
+from tickloom.llm.fuzzy_lines import dedup_lines
+from tickloom.llm.ngram_join import join_near
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.preference_format import format_preferences, swapped_replies
 
@@ -27,11 +29,20 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.filter("quality.reason is null").select("doc_id", "quality.n_bytes", "quality.ratio", "quality.n_chunks", "quality.bad_chunks")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without repeated lines."""
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return format_preferences(conversations, swapped_replies(conversations))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_near(table(spark, sf_dir, "documents"))
+
+
 def op9_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of a text are indivisible, so that none is met in two shards."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2"))
@@ -67,13 +78,33 @@ select conv_id as pair_id, cast(any_value(k) as integer) as prompt_turns,
 from offsets group by conv_id
 """
 
+OP8_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') as w from documents where doc_id is not null and text is not null
+), grams as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(generate_series(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g
+  from words
+), sizes as (
+  select doc_id, count(*) as n from grams group by doc_id
+), shared as (
+  select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as overlap
+  from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+)
+select doc_a, doc_b, cast(overlap as bigint) as overlap, cast(x.n + y.n - overlap as bigint) as union_size, overlap / (x.n + y.n - overlap) as jaccard
+from shared join sizes x on x.doc_id = doc_a join sizes y on y.doc_id = doc_b
+where overlap >= 0.5 * (x.n + y.n - overlap)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
         op4_compression_bands,
+        op5_fuzzy_lines,
         op7_preference_formatting,
+        op8_ngram_join,
         op9_differencing_shards,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_preference_formatting": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_preference_formatting": OP7_SQL, "op8_ngram_join": OP8_SQL}
