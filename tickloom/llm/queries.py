@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.compression_rules import score_quality
 from tickloom.llm.differencing import shard_groups
 from tickloom.llm.fuzzy_lines import dedup_lines
+from tickloom.llm.html_blocks import extract_pages
+from tickloom.llm.language_id import fit, identify
 from tickloom.llm.ngram_join import join_near
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.preference_format import format_preferences, swapped_replies
@@ -23,6 +25,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_pages(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "extracted.text", "extracted.n_blocks", "extracted.n_kept")
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are kept, with their figures."""
     scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -34,6 +41,13 @@ def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language; the column ``lang`` labels the rows of the fit only."""
+    docs = table(spark, sf_dir, "documents")
+    scored = identify(docs.select("doc_id", "text"), fit(docs))
+    return scored.select("doc_id", "language.lang", "language.score", "language.margin")
+
+
 def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return format_preferences(conversations, swapped_replies(conversations))
@@ -83,7 +97,7 @@ with words as (
   select doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') as w from documents where doc_id is not null and text is not null
 ), grams as (
   select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
-    else list_transform(generate_series(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g
+    else list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g
   from words
 ), sizes as (
   select doc_id, count(*) as n from grams group by doc_id
@@ -100,8 +114,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op3_html_blocks,
         op4_compression_bands,
         op5_fuzzy_lines,
+        op6_language_id,
         op7_preference_formatting,
         op8_ngram_join,
         op9_differencing_shards,
