@@ -15,6 +15,7 @@ from tickloom.llm.language_id import fit, identify
 from tickloom.llm.ngram_join import join_near
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.preference_format import format_preferences, swapped_replies
+from tickloom.llm.secret_grammar import scan_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its score."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extract_pages(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "extracted.text", "extracted.n_blocks", "extracted.n_kept")
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_secret_grammar,
         op3_html_blocks,
         op4_compression_bands,
         op5_fuzzy_lines,
