@@ -12,6 +12,7 @@ from tickloom.llm.differencing import shard_groups
 from tickloom.llm.fuzzy_lines import dedup_lines
 from tickloom.llm.html_blocks import extract_pages
 from tickloom.llm.language_id import fit, identify
+from tickloom.llm.latent_decontam import find_leaks
 from tickloom.llm.ngram_join import join_near
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.preference_format import format_preferences, swapped_replies
@@ -69,6 +70,11 @@ def op9_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_groups(docs, ["t1", "t2"], "n_bytes").select("doc_id", "n_bytes", "shard")
 
 
+def op10_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP7_SQL = """
 with last as (
   select conv_id, max(turn) as turn, arg_max(text, turn) as text from conversations where role = 'assistant' group by conv_id
@@ -128,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_preference_formatting,
         op8_ngram_join,
         op9_differencing_shards,
+        op10_latent_decontam,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op7_preference_formatting": OP7_SQL, "op8_ngram_join": OP8_SQL}
