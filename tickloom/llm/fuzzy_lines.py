@@ -152,35 +152,42 @@ def exact_jaccard(a: str, b: str, k: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def jaccards(a: pa.Array, b: pa.Array, k: int = SHINGLE) -> np.ndarray:
+    """The Jaccard index of each pair of texts, from the 44-bit hashes of their distinct shingles."""
+    keys = []
+    n = len(a)
+    for texts in (a, b):
+        buf, off = text_buffers(texts)
+        codes = _codes(buf)
+        at = _char_offsets(buf, off)
+        sums = prefix_sums(codes)
+        count = np.maximum(np.diff(at) - k + 1, 1)
+        pair = np.repeat(np.arange(n, dtype=np.int64), count)
+        start = np.repeat(at[:-1], count) + np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+        h = range_hashes(sums, start, np.minimum(start + k, at[1:][pair]))
+        key = np.sort((pair.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
+        keys.append(key[np.append(True, key[1:] != key[:-1])] if len(key) else key)
+    size = sum(np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=n) for key in keys)
+    both = np.sort(np.concatenate(keys))
+    shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(44)).astype(np.int64), minlength=n)
+    return shared / np.maximum(size - shared, 1)
+
+
 def _verify(shingle: int, threshold: float):
     def run(batches):
         for batch in batches:
-            held: dict[int, set] = {}
-
-            def shingles(i: int, t: str) -> set:
-                if i not in held:
-                    held[i] = {t[p : p + shingle] for p in range(max(1, len(t) - shingle + 1))}
-                return held[i]
-
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            good = np.zeros(len(a), bool)
-            for n in range(len(a)):
-                p, q = len(ta[n]), len(tb[n])
-                if p == q and ta[n] == tb[n]:
-                    good[n] = True
-                    continue
-                x, y = shingles(a[n], ta[n]), shingles(b[n], tb[n])
-                if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
-                    both = len(x & y)
-                    good[n] = both >= threshold * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(good)], names=["a", "b", "good"])
+            ta, tb = batch.column("ta"), batch.column("tb")
+            off = np.append(0, np.cumsum(np.diff(text_buffers(ta)[1]) + np.diff(text_buffers(tb)[1])))
+            good = np.zeros(batch.num_rows, bool)
+            for i, j in slices(off, SLICE):
+                good[i:j] = jaccards(ta.slice(i, j - i), tb.slice(i, j - i), shingle) >= threshold
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good)], names=["a", "b", "good"])
 
     return run
 
 
 def find_repeats(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, doc_key, lines): the numbers, from 0, of the lines that go. doc_key is xxhash64(text)."""
+    """(doc_id, doc_key, lines, whole): the numbers, from 0, of the lines that go, and whether none is left. doc_key is xxhash64(text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text <> ''").withColumn("doc_key", F.xxhash64("text"))
     band = [f"b{i}" for i in range(bands)]
     schema = "doc_id long, doc_key long, line int, h1 long, h2 long, " + ", ".join(f"{b} long" for b in band)
@@ -220,17 +227,33 @@ def find_repeats(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THR
     placed = firsts.join(groups, "id")
     lead = F.row_number().over(Window.partitionBy("root").orderBy("doc_id", "doc_key", "line", "id"))
     later = placed.withColumn("lead", lead).filter("lead > 1").select("doc_id", "doc_key", "line")
-    gone = lines.filter("not first").select("doc_id", "doc_key", "line").unionByName(later)
-    return materialise(gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set("line")).alias("lines")), "line-gone")
+    gone = lines.filter("not first").select("doc_id", "doc_key", "line").unionByName(later).distinct()
+    # a document goes as a whole when all its lines that aren't blank do
+    full = lines.select("doc_id", "doc_key", "line").distinct().groupBy("doc_id", "doc_key").agg(F.count(F.lit(1)).alias("full"))
+    by_doc = gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    by_doc = by_doc.join(full, ["doc_id", "doc_key"]).select("doc_id", "doc_key", "lines", (F.size("lines") == F.col("full")).alias("whole"))
+    return materialise(by_doc, "line-gone")
+
+
+def _cut(texts: pa.Array, lines: pa.Array) -> pa.Array:
+    out = []
+    for text, gone in zip(texts.to_pylist(), lines.to_pylist()):
+        if gone is None or text is None:
+            out.append(text)
+        else:
+            gone = set(gone)
+            out.append("\n".join(t for i, t in enumerate(text.split("\n")) if i not in gone))
+    return pa.array(out, pa.string())
 
 
 def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     """``docs`` without repeated lines; the columns stay."""
-    gone = find_repeats(docs.select("doc_id", "text"), **params).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), F.col("lines").alias("__lines"))
+    gone = find_repeats(docs.select("doc_id", "text"), **params)
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), F.col("lines").alias("__lines"), F.col("whole").alias("__whole"))
     keyed = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
     joined = keyed.join(gone.hint("shuffle_hash"), (keyed["doc_id"].cast("long") == gone["__id"]) & (keyed["__own"] == gone["__key"]), "left")
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__all) - 1), __lines), i -> __all[i]), '\\n')")
-    joined = joined.withColumn("__all", F.split(F.col("text").cast("string"), "\n", -1)).withColumn("__text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept))
-    joined = joined.filter("__lines is null or __text rlike '[^\\\\s]'")
-    new = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    joined = joined.filter("__whole is null or not __whole")
+    cut = F.arrow_udf(_cut, "string")
+    joined = joined.withColumn("__text", cut(F.col("text").cast("string"), F.col("__lines")))
+    new = {"text": F.col("__text")} | ({"n_chars": F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
