@@ -109,4 +109,5 @@ def shard_groups(df: DataFrame, group_cols: Sequence[str], size_col: str, shards
     for up in levels[1:]:
         up = up.select(F.col("a").alias("block"), F.col("slots"), F.col("block").alias("above"))
         place = place.join(up, "block").select("a", "b", F.col("above").alias("block"), F.expr("slots[shard]").alias("shard"))
-    return keyed.join(place, (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b"))).select(*out_cols, "shard")
+    place = place.select(F.col("a").alias("__pa"), F.col("b").alias("__pb"), F.col("shard").alias("__shard"))
+    return keyed.join(place, (F.col("__a") == F.col("__pa")) & (F.col("__b") == F.col("__pb"))).select(*out_cols, F.col("__shard").alias("shard"))
