@@ -6,8 +6,9 @@ All documents are cut into passages of ``PASSAGE`` words. Three passes read the
 2. Y = A^T (A W) for the TF-IDF matrix A and a random W: each task adds its passages to one
    terms-by-rank partial, the partials are summed by term. With Y the factorisation of a randomised
    SVD follows without another pass (Nystroem): A is about U S V^T, and A V / S gives rows of U;
-3. passages (half overlapping, and their halves) and benchmark items (cut likewise) are projected with V / S, and
-   every passage is compared with every item; pairs of at least ``COSINE`` are candidates.
+3. passages (half overlapping, and their halves) and benchmark items (cut likewise) are projected with V / S;
+   pairs whose cosine is at least ``COSINE`` are candidates. Pairs that can't pass the check below,
+   as too few of the item's rare words are near, are left out before they are projected.
 
 A candidate's surroundings are read again word by word: the share of the item's words in the
 longest common subsequence decides. From ``LCS`` on the item is leaked; from ``LCS_ANSWER`` on it is leaked when
@@ -37,7 +38,8 @@ PASSAGE = 64
 TERMS = 1 << 16
 RANK = 48
 MAX_DF = 0.005
-COSINE = 0.3
+LEAST_DF = 10
+COSINE = 0.15
 LCS = 0.7
 LCS_ANSWER = 0.6
 ANSWER = 0.7
@@ -147,7 +149,7 @@ def latent_basis(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n = counts.pop(-1, 0)
     df = np.zeros(TERMS)
     df[list(counts)] = list(counts.values())
-    weight = np.where(df <= max(MAX_DF * n, 1), np.log((n + 1) / (df + 1)) ** 2, 0.0).astype(np.float32)
+    weight = np.where(df <= max(MAX_DF * n, LEAST_DF), np.log((n + 2) / (df + 1)) ** 2, 0.0).astype(np.float32)
     test = np.random.default_rng(19).standard_normal((TERMS, RANK)).astype(np.float32)
     # one partial a core, however many files there are
     parts = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(_range(weight, test), "term int, y array<float>")
@@ -199,6 +201,7 @@ class Items:
         vectors = np.array(parts, np.float32).reshape(-1, RANK)
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
         self.owner, self.lead = np.array(owner, np.int64), np.array(lead, np.int64)
+        self.part_at = np.searchsorted(self.owner, np.arange(len(self.ids) + 1))
         # words of weight tell items apart; a leak must hold so many of an item's
         rare = [np.unique(w[weight[_terms(w)] > 0]) for w in self.words]
         self.rare, first = np.unique(np.concatenate(rare) if rare else np.zeros(0, np.uint64), return_inverse=True)
@@ -207,38 +210,54 @@ class Items:
         self.rare_at = np.searchsorted(first[order], np.arange(len(self.rare) + 1))
         kept = [np.isin(w, r).sum() for w, r in zip(self.words, rare)]
         self.need = np.array([max(len(r) > 0, np.ceil(n - (1 - LCS_ANSWER) * len(w))) for r, n, w in zip(rare, kept, self.words)], np.int32)
-        low = min((len(w) for w in self.words), default=0)
         self.table = np.zeros(1 << 16, bool)
         self.table[(self.rare >> np.uint64(48)).astype(np.int64)] = True
-        self.reach = -(-(max((len(w) for w in self.words), default=low) + PASSAGE) // (PASSAGE // 2))
+        self.reach = -(-(max((len(w) for w in self.words), default=0) + PASSAGE) // (PASSAGE // 2))
 
-    def near(self, y: np.ndarray, z: np.ndarray, words: np.ndarray, start: np.ndarray):
-        """(cosine, passage, part) of the candidates of one slice, from half (y) and whole passages (z).
+    def near(self, words: np.ndarray, start: np.ndarray, follows: np.ndarray, columns: np.ndarray, weight: np.ndarray):
+        """(cosine, passage, part) of the candidates of one slice; ``start`` are those of half passages.
 
-        A pair that is near in the latent space stays when the words around the passage include as
-        many of the item's rare words as a leak must; repeats count, so the bound loses none.
+        The words around a leak include as many of its item's rare words as ``need`` says; repeats
+        count, so this bound loses no leak. Where it holds, the half passages with such a word and the whole
+        ones around them are projected and compared with the item's parts.
         """
-        n, m = len(start), len(self.ids)
+        n = len(start)
         at = np.flatnonzero(self.table[(words >> np.uint64(48)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.rare, words[at]), max(len(self.rare) - 1, 0))
-        hit = self.rare[k] == words[at] if len(self.rare) else np.zeros(0, bool)
+        if not len(self.rare) or not len(at):
+            return
+        k = np.minimum(np.searchsorted(self.rare, words[at]), len(self.rare) - 1)
+        hit = self.rare[k] == words[at]
         at, k = at[hit], k[hit]
-        block = np.searchsorted(start, at, "right") - 1
         many = self.rare_at[k + 1] - self.rare_at[k]
-        block = np.repeat(block, many)
+        block = np.repeat(np.searchsorted(start, at, "right") - 1, many)
         item = self.rare_items[np.repeat(self.rare_at[k] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
-        for lo in range(0, len(self.owner), 1024):
-            owner = self.owner[lo : lo + 1024]
-            first, last = int(owner[0]), int(owner[-1]) + 1
-            own = (item >= first) & (item < last)
-            held = np.zeros((n + 1, last - first), np.int32)
-            np.add.at(held, (block[own] + 1, item[own] - first), 1)
-            np.cumsum(held, axis=0, out=held)
-            left, right = np.maximum(np.arange(n) - self.reach, 0), np.minimum(np.arange(n) + self.reach + 1, n)
-            enough = (held[right] - held[left]) >= self.need[first:last]
-            cosine = np.maximum(y @ self.vectors[lo : lo + 1024].T, z @ self.vectors[lo : lo + 1024].T)
-            p, q = np.nonzero((cosine >= COSINE) & enough[:, owner - first])
-            yield from zip(cosine[p, q].tolist(), p.tolist(), (q + lo).tolist())
+        key = np.sort(item * (n + 2 * self.reach + 1) + block)
+        held = np.searchsorted(key, key + self.reach, "right") - np.searchsorted(key, key - self.reach)
+        item, block = np.divmod(key, n + 2 * self.reach + 1)
+        keep = (held >= self.need[item]) & np.append(True, key[1:] != key[:-1])
+        item, block = item[keep], block[keep]
+        if not len(item):
+            return
+        # half passages that are needed, each projected once
+        used, where = np.unique(np.concatenate([block, np.maximum(block - 1, 0), np.minimum(block + 1, n - 1)]), return_inverse=True)
+        end = np.append(start[1:], len(words))[used]
+        size = end - start[used]
+        first = np.cumsum(size) - size
+        flat = np.arange(int(size.sum())) + np.repeat(start[used] - first, size)
+        y = _project(words[flat], first, columns, weight)
+        own, before, after = (y[w] for w in np.split(where, 3))
+        joined = np.append(follows, False)
+        low = np.where((block > 0)[:, None] & joined[block - 1][:, None], own + before, own)
+        high = np.where(joined[block][:, None], own + after, own)
+        parts = self.part_at[item + 1] - self.part_at[item]
+        pair = np.repeat(np.arange(len(item)), parts)
+        part = np.arange(len(pair)) - np.repeat(np.cumsum(parts) - parts - self.part_at[item], parts)
+        best = np.full(len(pair), -1.0, np.float32)
+        for v in (own, low, high):
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            best = np.maximum(best, np.einsum("ij,ij->i", v[pair], self.vectors[part]))
+        for i in np.flatnonzero(best >= COSINE).tolist():
+            yield float(best[i]), int(block[pair[i]]), int(part[i])
 
 
 def _one(text: str) -> np.ndarray:
@@ -282,12 +301,8 @@ def _search(items: Items, weight: np.ndarray, basis: np.ndarray):
                 if not len(words) or not len(items.ids):
                     continue
                 start, row = _passages(at, half)
-                y = _project(words, start, columns, weight)
-                follows = np.append(row[1:] == row[:-1], False)
-                z = y.copy()
-                z[:-1][follows[:-1]] += y[1:][follows[:-1]]
-                y, z = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) for v in (y, z))
-                for near, p_, q_ in items.near(y, z, words, start):
+                follows = row[1:] == row[:-1]
+                for near, p_, q_ in items.near(words, start, follows, columns, weight):
                     r, k = int(row[p_]), int(items.owner[q_])
                     item = items.words[k]
                     begin = start[p_] - items.lead[q_]
