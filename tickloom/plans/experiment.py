@@ -38,12 +38,15 @@ def tidy(merged: DataFrame, settings: Settings = Settings()) -> DataFrame:
     df = merged.withColumn("dt_et", wall(instant(F.col("trade_ts")), NEW_YORK))
     if settings.same_exchange and "ask_exchange" in df.columns:
         df = df.filter(F.col("ask_exchange") == F.col("bid_exchange"))
-    df = normalise(df).na.drop("any").filter(in_session(F.col("dt_et")))
+    df = normalise(df)
+    df = df.na.drop("any").filter(in_session(F.col("dt_et")))
     return merge_simultaneous(clean_rows(df), sum_quote_sizes=settings.sum_quote_sizes)
 
 
 def feature_table(trades: DataFrame, quotes: DataFrame, spots: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Each cleaned tick near expiry with its direction, features and the labels of all horizons."""
+    # hundreds of guarded columns make the optimiser's derived constraints grow without end, and no filter needs them
+    trades.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     trades = at_least(trades.filter(F.col("underlying").isin(list(settings.underlyings))), ["underlying"], settings.min_rows)
     df = add_dte(tidy(align(trades, quotes), settings))
     df = add_moneyness(in_dte(add_spot(df, spots, low=settings.dte[0], high=settings.dte[1]), *settings.dte))

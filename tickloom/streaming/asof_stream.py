@@ -35,6 +35,6 @@ def enrich_stream(trades: DataFrame, quotes: DataFrame) -> DataFrame:
                 out.append((key[0], r.at, r.price, *(last if fits else (None, None, None))))
         if last[0] is not None:
             state.update(last)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"quote_ts": "Int64"})
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")], dtype=object)
 
     return q.unionByName(t).groupBy("ticker").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
