@@ -218,7 +218,7 @@ def rolling_predict(df: DataFrame, features: Sequence[str], models: Sequence[str
         tests = pdf["test"].to_numpy(bool)
         a, b = pdf[~tests].sort_values([ts, *own]), pdf[tests]
         if len(a) < least or not len(b):
-            return pd.DataFrame({f.name: [] for f in schema})
+            return pd.DataFrame({f.name: [] for f in schema}, dtype=object)
         x, v = a[list(features)].to_numpy(float), b[list(features)].to_numpy(float)
         out = []
         for name in models:
