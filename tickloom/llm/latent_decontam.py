@@ -182,7 +182,7 @@ class Items:
     """Benchmark items as word hashes, their answers' words and their projected parts."""
 
     def __init__(self, ids: list[int], texts: list[str], weight: np.ndarray, basis: np.ndarray):
-        self.ids, self.words, self.answers = [], [], []
+        self.ids, self.words, self.lists, self.answers = [], [], [], []
         parts, owner, lead = [], [], []
         columns = np.ascontiguousarray((basis * weight[:, None]).T)
         for i, text in zip(ids, texts):
@@ -193,7 +193,8 @@ class Items:
             k = len(self.ids)
             self.ids.append(i)
             self.words.append(words)
-            self.answers.append(answer)
+            self.answers.append(answer.tolist())
+            self.lists.append(words.tolist())
             for s in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2):
                 parts.append(_project(words[s : s + PASSAGE], np.zeros(1, np.int64), columns, weight)[0])
                 owner.append(k)
@@ -279,14 +280,24 @@ def lcs(a, b) -> int:
     return len(a) - v.bit_count()
 
 
-def check(item: np.ndarray, answer: np.ndarray, segment: np.ndarray) -> tuple[float, float, bool]:
-    """(share of the item, share of its answer, leaked) in a segment of a document."""
+def check(item: list, answer: list, segment: np.ndarray) -> tuple[float, float, bool]:
+    """(share of the item, share of its answer, leaked) in a segment of a document.
+
+    The item's words that the segment has at all bound the subsequence; below the least share that counts
+    it isn't taken, and the share is that bound. The answer is looked for only where it decides.
+    """
     seen = segment.tolist()
-    share = lcs(item.tolist(), seen) / len(item)
+    have = set(seen)
+    most = sum(map(have.__contains__, item)) / len(item)
+    if most < LCS_ANSWER:
+        return most, 0.0, False
+    share = lcs(item, seen) / len(item)
     if len(item) < SHORTEST:
-        return share, share, share == 1.0 and any((segment[k : k + len(item)] == item).all() for k in range(len(segment) - len(item) + 1))
-    found = lcs(answer.tolist(), seen) / len(answer) if len(answer) else 0.0
-    return share, found, share >= LCS or share >= LCS_ANSWER and found >= ANSWER
+        return share, share, share == 1.0 and any(seen[k : k + len(item)] == item for k in range(len(seen) - len(item) + 1))
+    if share < LCS_ANSWER:
+        return share, 0.0, False
+    found = lcs(answer, seen) / len(answer) if answer else 0.0
+    return share, found, share >= LCS or found >= ANSWER
 
 
 def _search(items: Items, weight: np.ndarray, basis: np.ndarray):
@@ -307,7 +318,7 @@ def _search(items: Items, weight: np.ndarray, basis: np.ndarray):
                     item = items.words[k]
                     begin = start[p_] - items.lead[q_]
                     lo, hi = max(at[r], begin - half), min(at[r + 1], begin + len(item) + PASSAGE + half)
-                    share, found, leaked = check(item, items.answers[k], words[lo:hi])
+                    share, found, leaked = check(items.lists[k], items.answers[k], words[lo:hi])
                     if leaked:
                         key, new = (int(ids[i + r]), k), (share, found, near)
                         best[key] = max(best.get(key, new), new)
