@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.kernels import mix, row_bounds, slices, text_buffers, word_hashes
+from tickloom.llm.kernels import row_bounds, slices, text_buffers, word_hashes
 from tickloom.llm.staging import materialise
 
 PASSAGE = 64
