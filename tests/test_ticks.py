@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import numeric, symbols, times
-from tickloom.operators import clean, direction, features, labels, metrics, models, rolling, select
+from tickloom.operators import clean, features, labels, metrics, models, rolling, select
 from tickloom.operators.asof import asof_join
 from tickloom.operators.windows import span_label
 from tickloom.plans.config import UNDERLYINGS, Settings

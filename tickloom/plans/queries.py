@@ -15,7 +15,7 @@ from tickloom.operators.direction import add_direction
 from tickloom.operators.labels import LABEL, add_label
 from tickloom.operators.windows import span_label
 from tickloom.plans.config import Settings
-from tickloom.plans.fixtures import HOUR, items, merged, priced, quotes, spots, table, ticks, trades
+from tickloom.plans.fixtures import HOUR, items, merged, priced, spots, table, ticks, trades
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
