@@ -208,6 +208,22 @@ def test_leaks_are_found_and_clean_documents_left(spark, make, write):
     assert ld.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_items_copied_often_are_found(spark, make, write):
+    # words of all three are in more passages than LEAST_DF, those of 2 in more than COMMON
+    items = {1: write(50001, 40) + ".", 2: write(50002, 30) + ".", 3: "zopa kelidu mofiwu nurata"}
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    rows, planted, edits = [], set(), set()
+    for i in range(200):
+        held = [1] * (i < 60) + [2] + [3] * (60 <= i < 120)
+        parts = [edited(items[k], 0.08, i) if k == 1 and i >= 30 else items[k] for k in held]
+        rows.append((i, f" {write(7000 + i, 25)} ".join(["", *parts, ""])))
+        planted |= {(i, k) for k in held if k != 1 or i < 30}
+        edits |= {(i, 1)} if 30 <= i < 60 else set()
+    rows += [(1000 + i, write(9000 + i, 60)) for i in range(60)]
+    got = {(x.doc_id, x.item_id) for x in ld.find_leaks(make(rows), bench).collect()}
+    assert planted <= got <= planted | edits and len(got & edits) >= 0.9 * len(edits)
+
+
 # ---- packing
 def test_nnls_against_optimality():
     r = np.random.default_rng(1)

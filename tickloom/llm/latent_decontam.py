@@ -10,11 +10,16 @@ All documents are cut into passages of ``PASSAGE`` words. Three passes read the
    pairs whose cosine is at least ``COSINE`` are candidates. Pairs that can't pass the check below,
    as too few of the item's rare words are near, are left out before they are projected.
 
+Terms in more than ``MAX_DF`` of the passages carry no weight, so an item that is copied often may have none. Every
+item has an exact path besides: it is sought by its least frequent words, whatever their frequency, and each place
+with enough of them is a candidate at any cosine; the leak must then stand in a stretch of at most 1.5 times the
+item's words. Where words in more than ``COMMON`` of the passages alone could make a leak, and below ``SHORTEST`` words,
+this path seeks the item as a phrase, whole; less than ``SHORTEST`` of only such words match nothing by it.
+
 A candidate's surroundings are read again word by word: the share of the item's words in the
 longest common subsequence decides. From ``LCS`` on the item is leaked; from ``LCS_ANSWER`` on it is leaked when
 its answer (its last sentence) is found there to the share ``ANSWER``, which tells a paraphrase from a shared
-subject. Terms in more than ``MAX_DF`` of the passages carry no weight. Nothing that the driver or a task
-holds grows with the corpus: it has ``TERMS`` terms and ``RANK`` columns. The benchmark is broadcast; its size is
+subject. Nothing that the driver or a task holds grows with the corpus: it has ``TERMS`` terms and ``RANK`` columns. The benchmark is broadcast; its size is
 checked against ``MAX_ITEMS`` words, and a larger one is searched in parts.
 
 Defined results: null and empty texts and items match nothing, and rows with a null id are
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.kernels import row_bounds, slices, text_buffers, word_hashes
+from tickloom.llm.kernels import ngrams, row_bounds, slices, text_buffers, word_hashes
 from tickloom.llm.staging import materialise
 
 PASSAGE = 64
@@ -39,6 +44,8 @@ TERMS = 1 << 16
 RANK = 48
 MAX_DF = 0.005
 LEAST_DF = 10
+COMMON = 0.25
+LISTED = 0.6
 COSINE = 0.15
 LCS = 0.7
 LCS_ANSWER = 0.6
@@ -143,8 +150,8 @@ def _sum(batches):
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.FixedSizeListArray.from_arrays(flat, RANK).cast(pa.list_(pa.float32()))], names=["term", "y"])
 
 
-def latent_basis(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(weights of terms, projection (TERMS, RANK)) from two passes over ``texts``."""
+def latent_basis(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share of passages with each term, weights of terms, projection (TERMS, RANK)) from two passes over ``texts``."""
     counts = {r.term: r.n for r in texts.mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most TERMS rows
     n = counts.pop(-1, 0)
     df = np.zeros(TERMS)
@@ -157,7 +164,8 @@ def latent_basis(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     total = parts.repartition("term").mapInArrow(_sum, "term int, y array<float>").toArrow()  # at most TERMS rows
     if total.num_rows:
         y[total["term"].to_numpy()] = total["y"].combine_chunks().flatten().to_numpy().reshape(-1, RANK)
-    return weight, factorise(y, test)
+    # in a small corpus LEAST_DF passages don't make a term common
+    return np.where(df <= LEAST_DF, 0, df / max(n, 1)), weight, factorise(y, test)
 
 
 def factorise(y: np.ndarray, test: np.ndarray) -> np.ndarray:
@@ -181,39 +189,69 @@ def factorise(y: np.ndarray, test: np.ndarray) -> np.ndarray:
 class Items:
     """Benchmark items as word hashes, their answers' words and their projected parts."""
 
-    def __init__(self, ids: list[int], texts: list[str], weight: np.ndarray, basis: np.ndarray):
-        self.ids, self.words, self.lists, self.answers = [], [], [], []
-        parts, owner, lead = [], [], []
+    def __init__(self, ids: list[int], texts: list[str], spread: np.ndarray, weight: np.ndarray, basis: np.ndarray):
+        self.ids, self.words, self.lists, self.answers, self.exact, self.whole = [], [], [], [], [], {}
+        parts, owner, lead, rare, need = [], [], [], [], []
         columns = np.ascontiguousarray((basis * weight[:, None]).T)
         for i, text in zip(ids, texts):
             words = _one(text)
             if not len(words):
                 continue
-            answer = _one(SENTENCE.split(text.strip())[-1])
-            k = len(self.ids)
-            self.ids.append(i)
-            self.words.append(words)
-            self.answers.append(answer.tolist())
-            self.lists.append(words.tolist())
-            for s in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2):
-                parts.append(_project(words[s : s + PASSAGE], np.zeros(1, np.int64), columns, weight)[0])
-                owner.append(k)
-                lead.append(s)
+            answer = _one(SENTENCE.split(text.strip())[-1]).tolist()
+            starts = range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2)
+            vectors = [_project(words[s : s + PASSAGE], np.zeros(1, np.int64), columns, weight)[0] for s in starts]
+            for listed, least, exact in self._ways(words, spread, weight):
+                k = len(self.ids)
+                self.ids.append(i)
+                self.words.append(words)
+                self.answers.append(answer)
+                self.lists.append(words.tolist())
+                self.exact.append(exact)
+                rare.append(np.unique(words[listed]))
+                need.append(least)
+                if exact and not listed.any():
+                    self.whole.setdefault(min(len(words), SHORTEST), []).append((int(ngrams(words[:SHORTEST], SHORTEST)[0]), k))
+                parts += vectors
+                owner += [k] * len(starts)
+                lead += starts
         vectors = np.array(parts, np.float32).reshape(-1, RANK)
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
         self.owner, self.lead = np.array(owner, np.int64), np.array(lead, np.int64)
         self.part_at = np.searchsorted(self.owner, np.arange(len(self.ids) + 1))
-        # words of weight tell items apart; a leak must hold so many of an item's
-        rare = [np.unique(w[weight[_terms(w)] > 0]) for w in self.words]
+        self.exact, self.need = np.array(self.exact, bool), np.array(need, np.int32)
+        self.whole = {n: (np.array([g for g, _ in sorted(x)], np.uint64), [k for _, k in sorted(x)]) for n, x in self.whole.items()}
         self.rare, first = np.unique(np.concatenate(rare) if rare else np.zeros(0, np.uint64), return_inverse=True)
         order = np.argsort(first, kind="stable")
         self.rare_items = np.repeat(np.arange(len(rare)), [len(r) for r in rare])[order]
         self.rare_at = np.searchsorted(first[order], np.arange(len(self.rare) + 1))
-        kept = [np.isin(w, r).sum() for w, r in zip(self.words, rare)]
-        self.need = np.array([max(len(r) > 0, np.ceil(n - (1 - LCS_ANSWER) * len(w))) for r, n, w in zip(rare, kept, self.words)], np.int32)
         self.table = np.zeros(1 << 16, bool)
         self.table[(self.rare >> np.uint64(48)).astype(np.int64)] = True
-        self.reach = -(-(max((len(w) for w in self.words), default=0) + PASSAGE) // (PASSAGE // 2))
+        size = np.array([len(w) for w in self.words], np.int64)
+        # half passages from one word of a leak to another: of the exact path, in a stretch as ``close`` takes it
+        self.spans = -(-np.where(self.exact, 6 * -(-size // 4), size.max(initial=0) + PASSAGE) // (PASSAGE // 2))
+        self.reach = int(self.spans.max(initial=0))
+
+    @staticmethod
+    def _ways(words: np.ndarray, spread: np.ndarray, weight: np.ndarray):
+        """(which words are listed, how many of them a leak must hold, exact path) of the ways in which an item is sought.
+
+        Of the exact path, an item without listed words is sought as a phrase.
+        """
+        terms, lost = _terms(words), (1 - LCS_ANSWER) * len(words)
+        telling = weight[terms] > 0  # words of weight tell items apart
+        least = int(np.ceil(telling.sum() - lost))
+        if telling.any():
+            yield telling, max(1, least), False
+        uncommon = spread[terms] <= COMMON
+        if len(words) < SHORTEST:
+            if uncommon.any():
+                yield telling & False, 0, True
+        elif uncommon.sum() - lost <= 0:
+            yield telling & False, 0, True
+        else:
+            # the least frequent words, all of one frequency together
+            listed = spread[terms] <= np.sort(spread[terms])[int(np.ceil(LISTED * len(words))) - 1]
+            yield listed, int(np.ceil(listed.sum() - lost)), True
 
     def near(self, words: np.ndarray, start: np.ndarray, follows: np.ndarray, columns: np.ndarray, weight: np.ndarray):
         """(cosine, passage, part) of the candidates of one slice; ``start`` are those of half passages.
@@ -233,8 +271,8 @@ class Items:
         block = np.repeat(np.searchsorted(start, at, "right") - 1, many)
         item = self.rare_items[np.repeat(self.rare_at[k] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
         key = np.sort(item * (n + 2 * self.reach + 1) + block)
-        held = np.searchsorted(key, key + self.reach, "right") - np.searchsorted(key, key - self.reach)
         item, block = np.divmod(key, n + 2 * self.reach + 1)
+        held = np.searchsorted(key, key + self.spans[item], "right") - np.searchsorted(key, key - self.spans[item])
         keep = (held >= self.need[item]) & np.append(True, key[1:] != key[:-1])
         item, block = item[keep], block[keep]
         if not len(item):
@@ -257,9 +295,22 @@ class Items:
         for v in (own, low, high):
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             best = np.maximum(best, np.einsum("ij,ij->i", v[pair], self.vectors[part]))
-        for i in np.flatnonzero(best >= COSINE).tolist():
+        for i in np.flatnonzero((best >= COSINE) | self.exact[item[pair]]).tolist():
             yield float(best[i]), int(block[pair[i]]), int(part[i])
 
+    def phrases(self, words: np.ndarray, row: np.ndarray):
+        """(row, item) where an item that is sought as a phrase stands whole in one row."""
+        for n, (grams, owners) in self.whole.items():
+            if len(words) < n:
+                continue
+            found = ngrams(words, n)
+            low, high = np.searchsorted(grams, found), np.searchsorted(grams, found, "right")
+            for at in np.flatnonzero(low < high).tolist():
+                for k in owners[low[at] : high[at]]:
+                    end = at + len(self.words[k])
+                    if end <= len(words) and row[at] == row[end - 1] and np.array_equal(words[at:end], self.words[k]):
+                        yield int(row[at]), k
+
 
 def _one(text: str) -> np.ndarray:
     return next(_words(pa.array([text.lower()])))[2] if text else np.zeros(0, np.uint64)
@@ -300,6 +351,15 @@ def check(item: list, answer: list, segment: np.ndarray) -> tuple[float, float,
     return share, found, share >= LCS or found >= ANSWER
 
 
+def close(item: list, answer: list, segment: np.ndarray) -> tuple[float, float, bool]:
+    """As ``check``, in a stretch of the segment of at most 1.5 times the item's words: frequent words come together by chance in a longer one."""
+    best = check(item, answer, segment)
+    step = -(-len(item) // 4)
+    if not best[2] or len(segment) <= 6 * step:
+        return best
+    return max((check(item, answer, segment[k : k + 6 * step]) for k in range(0, len(segment) - 5 * step + 1, step)), key=lambda x: (x[2], *x))
+
+
 def _search(items: Items, weight: np.ndarray, basis: np.ndarray):
     half = PASSAGE // 2
     columns = np.ascontiguousarray((basis * weight[:, None]).T)
@@ -313,15 +373,20 @@ def _search(items: Items, weight: np.ndarray, basis: np.ndarray):
                     continue
                 start, row = _passages(at, half)
                 follows = row[1:] == row[:-1]
+                checked: dict[tuple[int, int, int], tuple] = {}
                 for near, p_, q_ in items.near(words, start, follows, columns, weight):
                     r, k = int(row[p_]), int(items.owner[q_])
                     item = items.words[k]
                     begin = start[p_] - items.lead[q_]
-                    lo, hi = max(at[r], begin - half), min(at[r + 1], begin + len(item) + PASSAGE + half)
-                    share, found, leaked = check(items.lists[k], items.answers[k], words[lo:hi])
+                    lo, hi = int(max(at[r], begin - half)), int(min(at[r + 1], begin + len(item) + PASSAGE + half))
+                    if (lo, hi, k) not in checked:
+                        checked[lo, hi, k] = (close if items.exact[k] else check)(items.lists[k], items.answers[k], words[lo:hi])
+                    share, found, leaked = checked[lo, hi, k]
                     if leaked:
                         key, new = (int(ids[i + r]), k), (share, found, near)
                         best[key] = max(best.get(key, new), new)
+                for r, k in items.phrases(words, np.repeat(np.arange(n), np.diff(at))):
+                    best[int(ids[i + r]), k] = (1.0, 1.0, 0.0)
             keys = list(best)
             cols = [pa.array([d for d, _ in keys], pa.int64()), pa.array([items.ids[k] for _, k in keys], pa.int64())]
             cols += [pa.array([best[k][c] for k in keys], pa.float64()) for c in (2, 0, 1)]
@@ -334,13 +399,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share) of every leaked item of every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("doc_id is not null and text <> ''")
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
-    weight, basis = latent_basis(texts)
+    spread, weight, basis = latent_basis(texts)
     words = asked.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
     parts = -(-words // MAX_ITEMS) or 1
     out = None
     for k in range(parts):
         rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        items = Items([r.item_id for r in rows], [r.text for r in rows], weight, basis)
+        items = Items([r.item_id for r in rows], [r.text for r in rows], spread, weight, basis)
         part = texts.mapInArrow(_search(items, weight, basis), "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
         out = part if out is None else out.unionByName(part)
     best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("b")
