@@ -146,6 +146,22 @@ def test_ngram_join_matches_brute_force(spark, make, write):
     assert nj.join_near(make([])).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.25])
+def test_short_texts_near_by_one_gram(spark, make, threshold):
+    rows = []
+    for i in range(60):
+        a, b, c, d = (f"{x}{i}" for x in "abcd")
+        texts = [f"{a} {b} {c}", f"{a} {b} {c} {d}", f"{d} {a} {b} {c}", f"{a} {b} {c} {d} x{i}", f"{d} {d} {a} {b} {c}"]
+        rows += [(i * 10 + k, t) for k, t in enumerate(texts)]
+    rows += [(900, "w " * 50), (901, "w " * 50 + "x"), (902, "y " + "w " * 9)]
+    got = {(x.doc_a, x.doc_b) for x in nj.join_near(make(rows), threshold=threshold).collect()}
+    want = set(brute_pairs(rows, threshold))
+    shared = {i: grams(t) for i, t in rows}
+    # pairs that share more than one gram are found by the sketch
+    assert got <= want and {(a, b) for a, b in want if len(shared[a] & shared[b]) == 1} <= got
+    assert {(0, 1), (0, 2), (900, 901), (900, 902)} <= got
+
+
 def test_tiles_hold_all_pairs(spark, make, write):
     rows = near_rows(write)
     whole = {(x.doc_a, x.doc_b) for x in nj.join_near(make(rows)).collect()}
