@@ -11,7 +11,6 @@ import pytest
 import corpus_pipeline
 from tickloom.llm import differencing as df_
 from tickloom.llm import fuzzy_lines as fl
-from tickloom.llm import latent_decontam as ld
 from tickloom.llm import ngram_join as nj
 from tickloom.llm import packing as pk
 from tickloom.llm.graph import components
@@ -180,66 +179,6 @@ def test_one_of_near_stays(spark, make, write):
     assert set(ids) == want | {None} and ids.count(9005) == 2
 
 
-# ---- decontamination
-def test_lcs():
-    r = random.Random(3)
-    for _ in range(200):
-        a, b = ([r.randint(0, 5) for _ in range(r.randint(0, 12))] for _ in range(2))
-        table = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i, j in itertools.product(range(len(a)), range(len(b))):
-            table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
-        assert ld.lcs(a, b) == table[-1, -1]
-
-
-def test_factorisation_recovers_low_rank():
-    r = np.random.default_rng(0)
-    a = r.standard_normal((300, 6)) @ r.standard_normal((6, 500))
-    test = r.standard_normal((500, 20))
-    p = ld.factorise(a.T @ (a @ test), test)
-    u = a @ p
-    live = np.abs(u).sum(0) > 1e-6
-    np.testing.assert_allclose(u[:, live].T @ u[:, live], np.eye(6), atol=1e-4)
-
-
-def test_leaks_are_found_and_clean_documents_left(spark, make, write):
-    items = [(i, write(40000 + i, r) + ".") for i, r in enumerate([18, 35, 60, 90, 150] * 4)] + [(90, None), (91, ""), (92, "in a")]
-    bench = spark.createDataFrame(items, "item_id bigint, text string")
-    rows, planted = [], set()
-    for i in range(150):
-        text = write(i, 200)
-        if i < 60:
-            k = i % 20
-            item = items[k][1] if i < 40 else edited(items[k][1], 0.08, i)
-            text = f"{write(1000 + i, 90)} {item} {write(2000 + i, 90)}"
-            planted.add((i, k))
-        rows.append((i, text))
-    rows += [(900 + i, t) for i, t in odd(write) if i] + [(None, items[1][1]), (3, dict(rows)[3])]
-    docs = make(rows, extra=True)
-    got = {(x.doc_id, x.item_id) for x in ld.find_leaks(docs, bench).collect()}
-    assert got <= planted and len(got) >= 0.9 * len(planted)
-    kept = ld.drop_leaked(docs, bench)
-    assert kept.columns == docs.columns
-    assert not {i for i, _ in got} & {x.doc_id for x in kept.collect()} and kept.count() == len(rows) - len({i for i, _ in got}) - (3 in {i for i, _ in got})
-    assert ld.find_leaks(make([]), bench).count() == 0
-    assert ld.find_leaks(docs, bench.limit(0)).count() == 0
-
-
-def test_items_copied_often_are_found(spark, make, write):
-    # words of all three are in more passages than LEAST_DF, those of 2 in more than COMMON
-    items = {1: write(50001, 40) + ".", 2: write(50002, 30) + ".", 3: "zopa kelidu mofiwu nurata"}
-    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
-    rows, planted, edits = [], set(), set()
-    for i in range(200):
-        held = [1] * (i < 60) + [2] + [3] * (60 <= i < 120)
-        parts = [edited(items[k], 0.08, i) if k == 1 and i >= 30 else items[k] for k in held]
-        rows.append((i, f" {write(7000 + i, 25)} ".join(["", *parts, ""])))
-        planted |= {(i, k) for k in held if k != 1 or i < 30}
-        edits |= {(i, 1)} if 30 <= i < 60 else set()
-    rows += [(1000 + i, write(9000 + i, 60)) for i in range(60)]
-    got = {(x.doc_id, x.item_id) for x in ld.find_leaks(make(rows), bench).collect()}
-    assert planted <= got <= planted | edits and len(got & edits) >= 0.9 * len(edits)
-
-
 # ---- packing
 def test_nnls_against_optimality():
     r = np.random.default_rng(1)
