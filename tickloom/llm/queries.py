@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.compression_rules import score_quality
+from tickloom.llm.compression_rules import fit_bands, score_quality
 from tickloom.llm.differencing import shard_groups
 from tickloom.llm.fuzzy_lines import dedup_lines
 from tickloom.llm.html_blocks import extract_pages
@@ -38,8 +38,9 @@ def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are kept, with their figures."""
-    scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The documents that are kept, with their figures; labels fit the limits only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, bands=fit_bands(docs, table(spark, sf_dir, "labels")))
     return scored.filter("quality.reason is null").select("doc_id", "quality.n_bytes", "quality.ratio", "quality.n_chunks", "quality.bad_chunks")
 
 
