@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        edges = materialise(_small_star(_large_star(edges)), "edges", instead_of=[edges])
         now = _state(edges)
         if now == before:
             break
