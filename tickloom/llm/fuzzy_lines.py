@@ -5,9 +5,11 @@ are grouped by a 128-bit hash; of the distinct ones, MinHash signatures are cut
 that share a band are verified with their exact Jaccard index, and union-find joins the verified
 pairs. Of each component the line that comes first by (doc_id, line number) stays.
 
-Within a band's bucket every member is first verified against the bucket's least; only members of
-different components are then compared pair by pair, so that a bucket of copies costs its size and
-no pair that could join two components is skipped.
+Within a band's bucket every member is first verified against the bucket's least, so that a bucket of
+copies costs its size. Members that are still in different components are then paired where they share
+one of their prefix shingles: the rarest |x| - ceil(t |x|) + 1 of a line's, without one of which no pair reaches
+the threshold t. So no pair of a bucket that could join two components is skipped, and lines that
+share a common stretch only don't meet.
 
 Only hashes and positions are shuffled for the search; texts are shuffled once for the candidates
 and once for the result.
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.graph import components
-from tickloom.llm.kernels import mix, powers, prefix_sums, range_hashes, slices, text_buffers
-from tickloom.llm.staging import materialise
+from tickloom.llm.kernels import mix, powers, prefix_sums, range_hashes, slices, text_buffers, wide
+from tickloom.llm.staging import materialise, temporary
 
 SHINGLE = 6
 THRESHOLD = 0.75
@@ -96,7 +98,7 @@ def band_hashes(x: np.ndarray, start: np.ndarray, stop: np.ndarray, bands: int,
 
 
 def _scan(shingle: int, bands: int, rows: int):
-    names = ["doc_id", "doc_key", "line", "h1", "h2", *(f"b{i}" for i in range(bands))]
+    names = ["doc_id", "doc_key", "line", "id", *(f"b{i}" for i in range(bands))]
 
     def run(batches):
         for batch in batches:
@@ -118,7 +120,7 @@ def _scan(shingle: int, bands: int, rows: int):
                 h2 = range_hashes(prefix_sums((codes * np.uint32(2654435761)) ^ (codes >> np.uint32(3))), start, end)
                 long = end - start >= shingle
                 sig = band_hashes(shingle_hashes(codes, sums, shingle), start[long], end[long] - shingle + 1, bands, rows).astype(np.int64)
-                cols = [pa.array(ids[i:j][row]), pa.array(keys[i:j][row]), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+                cols = [pa.array(ids[i:j][row]), pa.array(keys[i:j][row]), pa.array(number.astype(np.int32)), wide(h1, h2)]
                 for b in range(bands):
                     v = np.zeros(len(row), np.int64)
                     v[long] = sig[:, b]
@@ -129,20 +131,60 @@ def _scan(shingle: int, bands: int, rows: int):
 
 
 def _buckets(batches):
-    """(key, id) of the keys that two or more ids share; the whole partition is one block."""
-    keys, ids = [], []
+    """(key, id, lead) of the keys that two or more ids share, lead being the least; rows come sorted by (key, id), so a task holds one batch."""
+    last, lead, lone = None, None, False  # of the rows before: their last key, its least id, whether that is its only one
     for batch in batches:
-        keys.append(batch.column("key").to_numpy())
-        ids.append(batch.column("id").to_numpy())
-    if not keys:
-        return
-    key, id_ = np.concatenate(keys), np.concatenate(ids)
-    order = np.argsort(key, kind="stable")
-    key, id_ = key[order], id_[order]
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = key[1:] == key[:-1]
-    many = same[1:] | same[:-1]
-    yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(id_[many])], names=["key", "id"])
+        n = batch.num_rows
+        if not n:
+            continue
+        key = batch.column("key").to_numpy()
+        new = np.append(key[0] != last, key[1:] != key[:-1])
+        group = np.cumsum(new)  # 0 goes on with the key before
+        first = np.append(0, np.flatnonzero(new))
+        ids = pa.concat_arrays([pa.array([lead], pa.binary()), batch.column("id")])
+        leads = np.append(0, np.flatnonzero(new) + 1)[group]
+        size = np.bincount(group, minlength=len(first))
+        many = (size > 1) | (np.arange(len(first)) == 0)
+        rows = np.flatnonzero(many[group])
+        keys = key[rows]
+        mine, theirs = rows + 1, leads[rows]
+        if lone and not new[0]:  # the row that was held back
+            keys, mine, theirs = np.append(last, keys), np.append(0, mine), np.append(0, theirs)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), ids.take(pa.array(mine)), ids.take(pa.array(theirs))], names=["key", "id", "lead"])
+        lone = bool(new[-1])
+        last, lead = key[-1], ids[int(leads[-1])].as_py()
+
+
+def _shingles(shingle: int):
+    """(id, tokens): the hashes of a line's distinct shingles."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = [np.unique(_tokens(t, shingle)) for t in batch.column("t").to_pylist()]
+            at = np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int32)
+            flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "tokens"])
+
+    return run
+
+
+def _tokens(text: str, k: int) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    start = np.arange(max(1, len(codes) - k + 1))
+    return range_hashes(prefix_sums(codes), start, np.minimum(start + k, len(codes)))
+
+
+def prefix_pairs(apart: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(a, b), a > b: members of one key of ``apart`` (key, id, root) that have different roots and share a prefix shingle."""
+    held = materialise(apart.select("id").distinct().join(texts, "id").mapInArrow(_shingles(shingle), "id binary, tokens array<long>"), "line-shingles")
+    flat = held.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    often = flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ranked = flat.join(often, "token").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("r"))
+    prefix = ranked.select("id", "size", F.explode(F.expr(f"slice(r, 1, size - cast(ceil({threshold}D * size - 1e-9D) as int) + 1).token")).alias("token"))
+    placed = apart.join(prefix, "id")
+    x, y = placed.toDF("a", "key", "ra", "sa", "token"), placed.toDF("b", "key", "rb", "sb", "token")
+    return x.join(y, ["key", "token"]).filter(f"a > b and ra <> rb and least(sa, sb) >= {threshold}D * greatest(sa, sb)").select("a", "b").distinct()
 
 
 def exact_jaccard(a: str, b: str, k: int = SHINGLE) -> float:
@@ -189,50 +231,55 @@ def _verify(shingle: int, threshold: float):
 def find_repeats(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, doc_key, lines, whole): the numbers, from 0, of the lines that go, and whether none is left. doc_key is xxhash64(text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text <> ''").withColumn("doc_key", F.xxhash64("text"))
+    with temporary() as keep:
+        lines, firsts, groups = _line_groups(keyed, shingle, threshold, bands, rows)
+        placed = firsts.join(groups, "id")
+        lead = F.row_number().over(Window.partitionBy("root").orderBy("doc_id", "doc_key", "line", "id"))
+        later = placed.withColumn("lead", lead).filter("lead > 1").select("doc_id", "doc_key", "line")
+        gone = lines.filter("not first").select("doc_id", "doc_key", "line").unionByName(later).distinct()
+        # a document goes as a whole when all its lines that aren't blank do
+        full = lines.select("doc_id", "doc_key", "line").distinct().groupBy("doc_id", "doc_key").agg(F.count(F.lit(1)).alias("full"))
+        by_doc = gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+        by_doc = by_doc.join(full, ["doc_id", "doc_key"]).select("doc_id", "doc_key", "lines", (F.size("lines") == F.col("full")).alias("whole"))
+        return keep(materialise(by_doc, "line-gone"))
+
+
+def _line_groups(keyed: DataFrame, shingle: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, firsts, groups): all lines with ``first`` at one of each text, those, and the components (id, root) of near ones."""
     band = [f"b{i}" for i in range(bands)]
-    schema = "doc_id long, doc_key long, line int, h1 long, h2 long, " + ", ".join(f"{b} long" for b in band)
+    schema = "doc_id long, doc_key long, line int, id binary, " + ", ".join(f"{b} long" for b in band)
     lines = keyed.mapInArrow(_scan(shingle, bands, rows), schema)
-    first = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "doc_key", "line")) == 1
-    lines = lines.withColumn("first", first).select("doc_id", "doc_key", "line", "first", "h1", *(F.when(F.col("first"), F.col(b)).alias(b) for b in band))
+    first = F.rank().over(Window.partitionBy("id").orderBy("doc_id", "doc_key", "line")) == 1
+    lines = lines.withColumn("first", first).select("doc_id", "doc_key", "line", "first", F.when(F.col("first"), F.col("id")).alias("id"), *(F.when(F.col("first"), F.col(b)).alias(b) for b in band))
     lines = materialise(lines, "lines")
 
-    firsts = lines.filter("first").select("doc_id", "doc_key", "line", F.col("h1").alias("id"))
-    keys = lines.filter("first and b0 is not null").select(F.explode(F.array(*band)).alias("key"), F.col("h1").alias("id"))
-    buckets = materialise(keys.repartition("key").mapInArrow(_buckets, "key long, id long"), "line-buckets")
+    firsts = lines.filter("first").select("doc_id", "doc_key", "line", "id")
+    keys = lines.filter("first and b0 is not null").select(F.explode(F.array(*band)).alias("key"), "id")
+    buckets = materialise(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_buckets, "key long, id binary, lead binary"), "line-buckets")
 
     # texts of all lines that share a bucket
     wanted = firsts.join(buckets.select("id").distinct(), "id").groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
     texts = keyed.join(wanted.hint("shuffle_hash"), ["doc_id", "doc_key"])
-    texts = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w")).select("w.id", F.expr("all[w.line]").alias("t"))
+    texts = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w")).select("w.id", F.expr("all[w.line]").alias("t")).dropDuplicates(["id"])
     texts = materialise(texts, "line-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
         b = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, threshold), "a long, b long, good boolean")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, threshold), "a binary, b binary, good boolean")
 
-    star = buckets.withColumn("b", F.min("id").over(Window.partitionBy("key"))).filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    star = buckets.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     star = materialise(verified(star), "line-stars")
     found = materialise(components(star.filter("good")), "line-components")
     # members of one bucket that are still apart
-    placed = buckets.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = placed.withColumns({"lo": F.min("root").over(Window.partitionBy("key")), "hi": F.max("root").over(Window.partitionBy("key"))}).filter("lo <> hi").select("key", "id", "root")
-    x, y = apart.toDF("key", "a", "ra"), apart.toDF("key", "b", "rb")
-    rest = x.join(y, "key").filter("a > b and ra <> rb").select("a", "b").distinct()
-    rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    placed = buckets.select("key", "id").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    ends = {"lo": F.min("root").over(Window.partitionBy("key")), "hi": F.max("root").over(Window.partitionBy("key"))}
+    apart = materialise(placed.withColumns(ends).filter("lo <> hi").select("key", "id", "root"), "line-apart")
+    rest = prefix_pairs(apart, texts, shingle, threshold)
+    rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti")  # a star's pairs have a > b too
     rest = materialise(verified(rest), "line-rest")
     linked = found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(rest.filter("good").select("a", "b"))
-    groups = components(linked)
-
-    placed = firsts.join(groups, "id")
-    lead = F.row_number().over(Window.partitionBy("root").orderBy("doc_id", "doc_key", "line", "id"))
-    later = placed.withColumn("lead", lead).filter("lead > 1").select("doc_id", "doc_key", "line")
-    gone = lines.filter("not first").select("doc_id", "doc_key", "line").unionByName(later).distinct()
-    # a document goes as a whole when all its lines that aren't blank do
-    full = lines.select("doc_id", "doc_key", "line").distinct().groupBy("doc_id", "doc_key").agg(F.count(F.lit(1)).alias("full"))
-    by_doc = gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    by_doc = by_doc.join(full, ["doc_id", "doc_key"]).select("doc_id", "doc_key", "lines", (F.size("lines") == F.col("full")).alias("whole"))
-    return materialise(by_doc, "line-gone")
+    return lines, firsts, components(linked)
 
 
 def _cut(texts: pa.Array, lines: pa.Array) -> pa.Array:

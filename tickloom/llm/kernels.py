@@ -82,6 +82,13 @@ def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def wide(a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """Pairs of 64-bit hashes as binary values of 16 bytes."""
+    data = np.stack([a, b], 1).astype(">u8")
+    at = np.arange(len(a) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def word_spans(buf: np.ndarray, off: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of the maximal runs of word bytes; no run crosses a row."""
     n = len(buf)
