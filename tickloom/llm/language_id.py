@@ -7,9 +7,10 @@ words' log probabilities, and the best language wins. Pieces' probabilities are
 expectation maximisation on a bounded sample of labelled rows (``SAMPLE`` documents a language,
 taken by least hash of their id); scoring reads all texts in full.
 
-A word is a run without white space, led by the vocabulary's word mark; a run of more than
-``LONGEST`` characters is read in parts of that size. A character outside the vocabulary has the
-probability ``UNKNOWN``. In each slice of texts a distinct word is scored once.
+A word is a run without white space, led by the vocabulary's word mark, of any length. A character outside the vocabulary has the
+probability ``UNKNOWN``. In each slice of texts a distinct word is scored once, in groups whose memory is bounded by words
+times languages (``CELLS``); words of more than ``LONGEST`` characters are scored one by one. The vocabulary's table holds the ends
+of all pieces too, so that longer pieces are looked up only where they can end.
 
 Defined results: null, empty and blank texts have the language ``und`` and no score; rows without a
 label are not used in fitting but are scored; of equal scores the first language by name wins; with no
@@ -19,6 +20,7 @@ labelled row every language is ``und``; repeated rows get equal results; other c
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.kernels import prefix_sums, range_hashes, slices, text_buffers, word_spans
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: The public vocabulary; where it lies is a setting of the environment or a parameter of ``fit``.
+VOCABULARY = os.environ.get("TICKLOOM_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 SAMPLE = 400
 ROUNDS = 5
 SMOOTHING = 0.02
 UNKNOWN = 1e-7
 LONGEST = 256
 LONGEST_PIECE = 16
+CELLS = 1 << 20
 SLICE_BYTES = 4 << 20
 MARK = 0x2581
 RESULT = "lang string, score double, margin double"
@@ -45,38 +49,53 @@ _SOLID[[9, 10, 11, 12, 13, 32]] = False
 
 
 class Pieces:
-    """The vocabulary as an open-addressed table of hashes of code points."""
+    """The vocabulary, and all ends of its pieces, as an open-addressed table of hashes of code points."""
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
         codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
-        end = np.cumsum([len(p) for p in pieces])
-        hashes = range_hashes(prefix_sums(codes), end - [len(p) for p in pieces], end)
-        bits = max(8, int(self.n * 4).bit_length())
+        size = np.array([len(p) for p in pieces], np.int64)
+        end, sums = np.cumsum(size), prefix_sums(codes)
+        hashes, ids = [], []
+        for k in range(1, int(size.max(initial=0)) + 1):
+            of = np.flatnonzero(size >= k)
+            hashes.append(range_hashes(sums, end[of] - k, end[of]))
+            ids.append(np.where(size[of] == k, of, -2))
+        hashes, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, ids))
+        order = np.lexsort((-ids, hashes))  # of one hash the piece comes first, then a mere end
+        hashes, ids = hashes[order], ids[order]
+        first = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+        hashes, ids = hashes[first], ids[first]
+        bits = max(8, int(len(ids) * 3).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.keys, self.ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        self.probes = 1
-        for i, h in enumerate(hashes):
-            k = int(h & self.mask)
-            step = 1
-            while self.ids[k] >= 0:
-                k = (k + 1) & int(self.mask)
-                step += 1
-            self.keys[k], self.ids[k] = h, i
-            self.probes = max(self.probes, step)
+        left, slot, self.probes = np.arange(len(ids)), (hashes & self.mask).astype(np.int64), 1
+        while len(left):  # all entries at once, those that meet another go on to the next slot
+            free = self.ids[slot] == -1
+            _, winner = np.unique(slot[free], return_index=True)
+            put = np.flatnonzero(free)[winner]
+            self.keys[slot[put]], self.ids[slot[put]] = hashes[left[put]], ids[left[put]]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, slot = left[rest], (slot[rest] + 1) & int(self.mask)
+            self.probes += 1
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int32)
+        """The piece of each hash, -2 where only longer pieces end so, -1 where none does."""
         slot = h & self.mask
-        left = np.arange(len(h))
+        out = self.ids[slot]
+        left = np.flatnonzero((self.keys[slot] != h) & (out != -1))
+        out[left] = -1
+        slot = slot[left]
         for _ in range(self.probes):
+            if not len(left):
+                break
+            slot = (slot + np.uint64(1)) & self.mask
             ids = self.ids[slot]
-            hit = (self.keys[slot] == h[left]) & (ids >= 0)
+            hit = self.keys[slot] == h[left]
             out[left[hit]] = ids[hit]
-            go = ~hit & (ids >= 0)
-            if not go.any():
-                break
-            left, slot = left[go], (slot[go] + np.uint64(1)) & self.mask
+            go = ~hit & (ids != -1)
+            left, slot = left[go], slot[go]
         return out
 
 
@@ -100,105 +119,159 @@ def distinct_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint32), z, z, z, z
     h, first, which = np.unique(range_hashes(prefix_sums(buf), start, end), return_index=True, return_inverse=True)
-    words = [bytes(buf[a:b]).decode("utf-8", "replace") for a, b in zip(start[first], end[first])]
-    size = np.array([len(w) for w in words], np.int64)
-    codes = np.frombuffer(("▁" + "▁".join(words)).encode("utf-32-le"), np.uint32)
-    return codes, np.append(0, np.cumsum(size + 1)[:-1]), size + 1, which, row
-
-
-def _parts(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, word) of the parts of at most LONGEST characters."""
-    n = -(-length // LONGEST)
-    word = np.repeat(np.arange(len(length)), n)
-    k = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    begin = start[word] + k * LONGEST
-    return begin, np.minimum(LONGEST, start[word] + length[word] - begin), word
+    # the words' bytes one after the other, each behind the mark
+    n = (end - start)[first]
+    at = np.append(0, np.cumsum(n + 3))
+    data = np.empty(int(at[-1]), np.uint8)
+    for k, byte in enumerate("▁".encode()):
+        data[at[:-1] + k] = byte
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    data[np.repeat(at[:-1] + 3, n) + within] = buf[np.repeat(start[first], n) + within]
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    size = np.add.reduceat((data & 0xC0) != 0x80, at[:-1], dtype=np.int64)
+    if len(codes) != size.sum():  # some bytes are no characters
+        words = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
+        codes, size = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.array([len(w) for w in words], np.int64)
+    return codes, np.cumsum(size) - size, size, which, row
 
 
 def forward(codes: np.ndarray, start: np.ndarray, length: np.ndarray, model: Model) -> np.ndarray:
     """The log probability (words, languages) of each word, over all its segmentations."""
-    word_start, word_length, word = _parts(start, length)
-    n_words, langs = len(start), model.prob.shape[1]
-    order = np.argsort(-word_length, kind="stable")
-    begin, size = word_start[order], word_length[order]
-    n, sums = len(order), prefix_sums(codes)
+    langs, sums = model.prob.shape[1], prefix_sums(codes)
+    out = np.zeros((len(start), langs))
+    order = np.argsort(-length, kind="stable")
+    long = int(np.searchsorted(-length[order], -LONGEST))
+    for w in order[:long].tolist():
+        out[w] = _forward_one(sums, int(start[w]), int(length[w]), model)
+    group = max(256, CELLS // max(langs, 1))
+    for i in range(long, len(order), group):
+        of = order[i : i + group]
+        out[of] = _forward(sums, start[of], length[of], model)
+    return out
+
+
+def _forward(sums: np.ndarray, begin: np.ndarray, size: np.ndarray, model: Model) -> np.ndarray:
+    """As ``forward``, of words from the longest to the shortest."""
+    n, langs = len(begin), model.prob.shape[1]
     ring = np.zeros((LONGEST_PIECE + 1, n, langs))
     ring[0] = 1
-    scale, result = np.zeros(n), np.zeros((n, langs))
+    scale, result = np.zeros((n, langs)), np.zeros((n, langs))
     longest = int(size[0]) if n else 0
-    active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
+    active = np.searchsorted(-size, -np.arange(1, longest + 2), "right")
     for t in range(1, longest + 1):
         a = int(active[t - 1])
         cur = np.zeros((a, langs))
-        end = begin[:a] + t
+        live, end = np.arange(a), begin[:a] + t
         for k in range(1, min(t, LONGEST_PIECE) + 1):
             found = model.pieces.find(range_hashes(sums, end - k, end))
-            hit = np.flatnonzero(found >= 0)
             before = ring[(t - k) % (LONGEST_PIECE + 1)]
-            if len(hit):
-                cur[hit] += before[hit] * model.prob[found[hit]]
-            if k == 1 and len(hit) < a:
-                miss = found < 0
-                cur[miss] += before[:a][miss] * UNKNOWN
+            hit = found >= 0
+            rows = live[hit]
+            cur[rows] += before[rows] * model.prob[found[hit]]
+            if k == 1:
+                rows = live[~hit]
+                cur[rows] += before[rows] * UNKNOWN
+            more = found != -1
+            live, end = live[more], end[more]
+            if not len(live):
+                break
         ring[t % (LONGEST_PIECE + 1), :a] = cur
-        done = np.searchsorted(-size, -t, "left")  # the rows of length t are the last active ones
+        done = int(active[t])  # the rows of length t are the last active ones
         if done < a:
-            result[done:a] = np.log(np.maximum(cur[done:a], 1e-300)) + scale[done:a, None]
+            result[done:a] = np.log(np.maximum(cur[done:a], 1e-300)) + scale[done:a]
         if t % 4 == 0:
-            top = np.maximum(cur.max(1), 1e-300)
-            ring[:, :a] /= top[None, :, None]
+            top = np.maximum(cur, 1e-300)
+            ring[:, :a] /= top
             scale[:a] += np.log(top)
-    out = np.zeros((n_words, langs))
-    np.add.at(out, word[order], result)
-    return out
+    return result
 
 
-def _arcs(codes, start, length, pieces: Pieces):
+def _forward_one(sums: np.ndarray, begin: int, size: int, model: Model) -> np.ndarray:
+    """As ``forward``, of one long word: pieces are looked up at all places at once."""
+    _, lo, hi, piece = _arcs(sums, np.array([begin]), np.array([size]), model.pieces)
+    order = np.argsort(hi, kind="stable")
+    lo, piece, cut = lo[order].tolist(), piece[order].tolist(), np.searchsorted(hi[order], np.arange(size + 2)).tolist()
+    prob = np.vstack([model.prob[:-1], np.full((1, model.prob.shape[1]), UNKNOWN)])  # piece -1 is a character outside the vocabulary
+    ring = np.zeros((LONGEST_PIECE + 1, prob.shape[1]))
+    ring[0] = 1
+    scale, cur = np.zeros(prob.shape[1]), ring[0]
+    for t in range(1, size + 1):
+        cur = sum(ring[lo[i] % (LONGEST_PIECE + 1)] * prob[piece[i]] for i in range(cut[t], cut[t + 1]))
+        ring[t % (LONGEST_PIECE + 1)] = cur
+        if t % 4 == 0:
+            top = np.maximum(cur, 1e-300)
+            ring /= top
+            scale += np.log(top)
+            cur = ring[t % (LONGEST_PIECE + 1)]
+    return np.log(np.maximum(cur, 1e-300)) + scale
+
+
+def _arcs(sums: np.ndarray, start: np.ndarray, length: np.ndarray, pieces: Pieces) -> np.ndarray:
     """(word, from, to, piece) of every match; a missing single character has the piece -1."""
-    sums, arcs = prefix_sums(codes), []
+    word = np.repeat(np.arange(len(length)), length)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length) + 1
+    arcs = []
     for k in range(1, LONGEST_PIECE + 1):
-        fits = np.maximum(length - k + 1, 0)
-        word = np.repeat(np.arange(len(length)), fits)
-        at = np.arange(len(word)) - np.repeat(np.cumsum(fits) - fits, fits)
-        begin = start[word] + at
-        found = pieces.find(range_hashes(sums, begin, begin + k))
+        if not len(word):
+            break
+        end = start[word] + at
+        found = pieces.find(range_hashes(sums, end - k, end))
         use = np.ones(len(found), bool) if k == 1 else found >= 0
-        arcs.append(np.stack([word[use], at[use], at[use] + k, found[use]]))
-    return np.concatenate(arcs, 1)
+        arcs.append(np.stack([word[use], at[use] - k, at[use], np.maximum(found[use], -1)]))
+        more = (found != -1) & (at > k)
+        word, at = word[more], at[more]
+    return np.concatenate(arcs, 1) if arcs else np.zeros((4, 0), np.int64)
+
+
+class _Words:
+    """Words of one group with their matches, for the passes of expectation maximisation."""
+
+    def __init__(self, sums: np.ndarray, start: np.ndarray, length: np.ndarray, count: np.ndarray, pieces: Pieces):
+        self.length, self.count, self.pieces = length, count, pieces.n
+        self.word, self.lo, self.hi, self.piece = _arcs(sums, start, length, pieces)
+        steps = np.arange(int(length.max()) + 2)
+        self.by_end, self.by_begin = np.argsort(self.hi, kind="stable"), np.argsort(self.lo, kind="stable")
+        self.end_cut, self.begin_cut = np.searchsorted(self.hi[self.by_end], steps), np.searchsorted(self.lo[self.by_begin], steps)
+
+    def expected(self, prob: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in all segmentations; sums stay logarithms, so words may be long."""
+        word, lo, hi, n, width = self.word, self.lo, self.hi, len(self.length), int(self.length.max()) + 1
+        p = np.where(self.piece >= 0, prob[self.piece], UNKNOWN)
+        alpha, beta = np.full((width, n), -np.inf), np.full((width, n), -np.inf)
+        alpha[0] = 0
+        beta[self.length, np.arange(n)] = 0
+        for t in range(1, width):
+            i = self.by_end[self.end_cut[t] : self.end_cut[t + 1]]
+            of = np.flatnonzero(self.length >= t)
+            total = np.bincount(word[i], np.exp(alpha[lo[i], word[i]] - alpha[t - 1, word[i]]) * p[i], n)
+            alpha[t, of] = alpha[t - 1, of] + np.log(total[of])
+        for t in range(width - 2, -1, -1):
+            i = self.by_begin[self.begin_cut[t] : self.begin_cut[t + 1]]
+            of = np.flatnonzero(self.length > t)
+            total = np.bincount(word[i], np.exp(beta[hi[i], word[i]] - beta[t + 1, word[i]]) * p[i], n)
+            beta[t, of] = beta[t + 1, of] + np.log(total[of])
+        known = self.piece >= 0
+        w = word[known]
+        share = np.exp(alpha[lo[known], w] + beta[hi[known], w] - beta[0, w]) * p[known] * self.count[w]
+        return np.bincount(self.piece[known], share, self.pieces)
 
 
 def fit_language(texts: list[str], pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities by expectation maximisation over all segmentations of the texts' words."""
     buf, off = text_buffers(pa.array(texts, pa.large_string()))
     codes, start, length, which, _ = distinct_words(buf, off)
-    count = np.bincount(which, minlength=len(start)).astype(float)
-    short = length <= 32  # longer words tell little and would underflow
-    start, length, count = start[short], length[short], count[short]
     prob = np.full(pieces.n, 1 / pieces.n)
     if not len(start):
         return prob
-    word, lo, hi, piece = _arcs(codes, start, length, pieces)
-    n, width = len(start), int(length.max()) + 1
-    by_end = np.argsort(hi, kind="stable")
-    end_cut = np.searchsorted(hi[by_end], np.arange(width + 1))
-    by_begin = np.argsort(lo, kind="stable")
-    begin_cut = np.searchsorted(lo[by_begin], np.arange(width + 1))
+    count, sums, order = np.bincount(which, minlength=len(start)).astype(float), prefix_sums(codes), np.argsort(length, kind="stable")
+    groups, i = [], 0
+    while i < len(order):  # words of like length, so that a group's tables stay small
+        fits = np.flatnonzero((length[order[i:]] + 1) * np.arange(1, len(order) - i + 1) <= CELLS)
+        of = order[i : i + max(1, int(fits.max(initial=0)) + 1)]
+        groups.append(_Words(sums, start[of], length[of], count[of], pieces))
+        i += len(of)
     for _ in range(rounds):
-        p = np.where(piece >= 0, prob[piece], UNKNOWN)
-        alpha, beta = np.zeros((width, n)), np.zeros((width, n))
-        alpha[0] = 1
-        beta[length, np.arange(n)] = 1
-        for t in range(1, width):
-            i = by_end[end_cut[t] : end_cut[t + 1]]
-            alpha[t] = np.bincount(word[i], alpha[lo[i], word[i]] * p[i], n)
-        for t in range(width - 2, -1, -1):
-            i = by_begin[begin_cut[t] : begin_cut[t + 1]]
-            beta[t] += np.bincount(word[i], beta[hi[i], word[i]] * p[i], n)
-        total = alpha[length, np.arange(n)]
-        share = np.where(total > 0, count / np.maximum(total, 1e-300), 0)
-        expected = alpha[lo, word] * p * beta[hi, word] * share[word]
-        known = piece >= 0
-        prob = np.bincount(piece[known], expected[known], pieces.n) + SMOOTHING
+        prob = sum(g.expected(prob) for g in groups) + SMOOTHING
         prob /= prob.sum()
     return prob
 
