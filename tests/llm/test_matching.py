@@ -311,5 +311,6 @@ def test_pipeline_on_odd_and_empty_documents(spark, tmp_path, make, write):
         d = str(tmp_path / f"d{k}")
         make(rows).write.parquet(f"{d}/documents.parquet")
         bench.write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([(51, 1, 0), (None, 1, 0), (7, None, None), (999, 1, 0)][: 4 * k], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         out = corpus_pipeline.run(spark, d).collect()
         assert {x.doc_id for x in out} == (set() if not rows else {None, 3, 4, 5, 8, 51})

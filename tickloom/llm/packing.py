@@ -2,7 +2,7 @@
 
 Lengths are counted in a histogram of ``bins`` equal steps of the sequence length. Patterns of one
 to three lengths that fill a sequence are enumerated, and non-negative repeat counts are fitted to
-the histogram; they are rounded down to whole repeats that the histogram can fill, and what is left is packed
+the histogram; they are rounded to whole repeats, as many as the histogram can fill, and what is left is packed
 best-fit decreasing on the residual histogram. The plan is a list of (pattern, repeats) whose size
 depends on ``bins`` alone, so the driver holds no documents. Each piece then finds its place from
 its rank among the pieces of its bin, which needs counts by (bucket, bin) and one shuffle.
@@ -41,13 +41,16 @@ def patterns(bins: int) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, y: np.ndarray, most: int | None = None) -> np.ndarray:
-    """argmin |a x - y| over x >= 0, by the active-set method of Lawson and Hanson."""
+    """argmin |a x - y| over x >= 0, by the active-set method of Lawson and Hanson.
+
+    It ends at the optimum; the bound on its steps, 30 for each row of a, is against cycles by rounding only.
+    """
     m, n = a.shape
     x = np.zeros(n)
     held: list[int] = []
     inside = np.zeros(n, bool)
     tol = 1e-9 * max(1.0, float(np.abs(y).max(initial=0)))
-    for _ in range(most or 3 * m):
+    for _ in range(most or 30 * m):
         w = a.T @ (y - a @ x)
         w[inside] = -np.inf
         j = int(np.argmax(w))
