@@ -67,12 +67,31 @@ def test_command_line(files, tmp_path, spark):
     assert len(pd.read_csv(tmp_path / "summary_experiment.csv")) == 36
 
 
+def test_settings_of_the_session_stay(spark, files, tmp_path):
+    before = spark.conf.get("spark.sql.constraintPropagation.enabled")
+    trades, quotes = io.ensure_tables(spark, str(files), str(tmp_path), "t.csv.gz", "q.csv.gz")
+    experiment.run(spark.read.parquet(trades), spark.read.parquet(quotes), io.read_spots(spark, str(tmp_path / "absent.csv"), "px"), Settings(horizons=(5,), caps=(0.1,), spans=((0, 5),)), models=False)
+    assert spark.conf.get("spark.sql.constraintPropagation.enabled") == before
+
+
 def test_stream_gives_the_latest_quote(spark, tmp_path):
     t, q = str(tmp_path / "t"), str(tmp_path / "q")
-    spark.createDataFrame([("a", 5, 1.0), ("a", 9, 2.0), ("b", 1, 3.0)], "ticker string, trade_ts bigint, price double").write.parquet(t)
-    spark.createDataFrame([("a", 5, 1.1, 1.2), ("a", 7, 1.3, 1.4), ("b", 2, 9.0, 9.1)], "ticker string, quote_ts bigint, bid_price double, ask_price double").write.parquet(q)
+    quote, trade = "ticker string, quote_ts bigint, sequence_number bigint, bid_price double, ask_price double", "ticker string, trade_ts bigint, price double"
+    spark.createDataFrame([("a", 5, 1.0), ("a", 9, 2.0), ("b", 1, 3.0)], trade).write.parquet(t)
+    spark.createDataFrame([("a", 5, 1, 1.1, 1.2), ("a", 7, 2, 1.3, 1.4), ("a", 7, 1, 7.3, 7.4), ("b", 2, 1, 9.0, 9.1)], quote).write.parquet(q)
     streams = [spark.readStream.schema(spark.read.parquet(p).schema).parquet(p) for p in (t, q)]
-    run = enrich_stream(*streams).writeStream.format("memory").queryName("enriched").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    run.processAllAvailable()
-    run.stop()
-    assert sorted(tuple(r) for r in spark.sql("select ticker, trade_ts, quote_ts, bid_price from enriched").collect() if r) == [("a", 5, 5, 1.1), ("a", 9, 7, 1.3), ("b", 1, None, None)]
+
+    def batch():
+        run = enrich_stream(*streams, keep=100).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+        run = run.foreachBatch(lambda df, _: seen.extend(tuple(r) for r in df.select("ticker", "trade_ts", "quote_ts", "bid_price").collect())).trigger(availableNow=True).start()
+        run.awaitTermination(120)
+
+    seen = []
+    batch()
+    assert sorted(seen) == [("a", 5, 5, 1.1), ("a", 9, 7, 1.3), ("b", 1, None, None)]
+    # a later batch: a newer quote, a trade that comes late and one after it
+    seen = []
+    spark.createDataFrame([("a", 60, 9, 5.0, 5.1)], quote).write.mode("append").parquet(q)
+    spark.createDataFrame([("a", 8, 1.0), ("a", 61, 1.0)], trade).write.mode("append").parquet(t)
+    batch()
+    assert sorted(seen) == [("a", 8, 7, 1.3), ("a", 61, 60, 5.0)]

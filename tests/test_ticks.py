@@ -156,6 +156,26 @@ def test_simultaneous_trades(spark):
     assert clean.merge_simultaneous(df, sum_quote_sizes=False).filter("trade_ts = 1").first().bid_size == 5
 
 
+def test_ties_do_not_depend_on_the_order_of_input(spark):
+    rows = [("a", 5, 3, c, float(p), 1.0, 2.0, 1, 1, 1, o) for o, (c, p) in enumerate([(None, 3), ("X", 1), ("Y", 2), ("Z", 4)])]
+    names = "ticker string, trade_ts bigint, quote_ts bigint, conditions string, price double, bid_price double, ask_price double, size int, bid_size int, ask_size int, trade_order int"
+    r = random.Random(1)
+    for known in (True, False):
+        found = set()
+        for _ in range(4):
+            r.shuffle(rows)
+            df = spark.createDataFrame(rows, names).repartition(3)
+            found.add(clean.merge_simultaneous(df if known else df.drop("trade_order")).first().conditions)
+        assert len(found) == 1 and (not known or found == {"X"})
+    ticks = [("a", "d", t // 10, float(r.randint(1, 99))) for t in range(120)]
+    got = []
+    for _ in range(2):
+        r.shuffle(ticks)
+        df = spark.createDataFrame(ticks, "ticker string, date string, trade_ts bigint, mid double").repartition(4)
+        got.append(sorted(map(str, clean.add_rolling_deviation(df).collect())))
+    assert got[0] == got[1]
+
+
 def test_symbols(spark):
     names = ["O:AAPL251219C00150000", "SPY250103P00412500", "O:AAPL1251219C00150000", "O:aapl251219C00150000", "", None, "O:AAPL251219C0015000", "O:AAPL251399C00150000"]
     df = spark.createDataFrame([(n,) for n in names], "s string")
@@ -235,6 +255,109 @@ def test_models_learn_and_bear_missing_values(name):
     assert np.isfinite(p).all() and models.r2(y[400:], p) > (0.25 if name == "XGBoost" else 0.7)
 
 
+# ---- independent solvers
+def plain_lasso(x, y, a, l1, steps=4000):
+    """Proximal gradient with momentum on squares / 2n + a (l1 |w| + (1 - l1) w^2 / 2)."""
+    n, m = x.shape
+    mx, my = x.mean(0), y.mean()
+    x, y = x - mx, y - my
+    rate = 1 / (np.linalg.norm(x, 2) ** 2 / n + a * (1 - l1))
+    w, v, t = np.zeros(m), np.zeros(m), 1.0
+    for _ in range(steps):
+        z = v - rate * (x.T @ (x @ v - y) / n + a * (1 - l1) * v)
+        new = np.sign(z) * np.maximum(np.abs(z) - rate * a * l1, 0)
+        t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        v = new + (last - 1) / t * (new - w)
+        if np.abs(new - w).max() < 1e-13:
+            break
+        w = new
+    return w, my - mx @ w
+
+
+def plain_ridge(x, y, a):
+    mx, my = x.mean(0), y.mean()
+    w = np.linalg.solve((x - mx).T @ (x - mx) + a * np.eye(x.shape[1]), (x - mx).T @ (y - my))
+    return w, my - mx @ w
+
+
+def plain_tree(bins, y, depth, least, shrink):
+    if depth and len(y) >= 2 * least:
+        own, best = y.sum() ** 2 / (len(y) + shrink), (1e-15, None, None)
+        for j in range(bins.shape[1]):
+            for b in range(64):
+                low = bins[:, j] <= b
+                if low.sum() >= least and (~low).sum() >= least:
+                    gain = y[low].sum() ** 2 / (low.sum() + shrink) + y[~low].sum() ** 2 / ((~low).sum() + shrink) - own
+                    if gain > best[0] + 1e-12:
+                        best = gain, j, b
+        if best[1] is not None:
+            _, j, b = best
+            low = bins[:, j] <= b
+            left, right = plain_tree(bins[low], y[low], depth - 1, least, shrink), plain_tree(bins[~low], y[~low], depth - 1, least, shrink)
+            return lambda z: left(z) if z[j] <= b else right(z)
+    value = y.sum() / (len(y) + shrink)
+    return lambda z: value
+
+
+def plain_fit(name, x, y, z):
+    """Predictions at z by other means than the library's."""
+    middle = np.array([np.median(c[~np.isnan(c)]) for c in x.T])
+    x, z = (np.where(np.isnan(v), middle, v) for v in (x, z))
+    if name != "RandomForest":
+        mean, std = x.mean(0), x.std(0)
+        x, z = (x - mean) / std, (z - mean) / std
+    n = len(y)
+    if name in ("Ridge", "Lasso", "ElasticNet"):
+        l1 = 0.5 if name == "ElasticNet" else 1.0
+        if name == "Ridge":
+            grid, solve = np.logspace(-3, 3, 50), plain_ridge
+        else:
+            top = np.abs((x - x.mean(0)).T @ (y - y.mean())).max() / (n * l1)
+            grid, solve = np.geomspace(top, top / 1000, 50 if name == "Lasso" else 100), lambda a, b, c: plain_lasso(a, b, c, l1)
+        size, score = n // 4, np.zeros(len(grid))
+        for s in (n - 3 * size, n - 2 * size, n - size):
+            test = slice(s, s + size)
+            for k, a in enumerate(grid):
+                w, c = solve(x[:s], y[:s], a)
+                sse = ((y[test] - x[test] @ w - c) ** 2).sum()
+                score[k] += -sse if name != "Ridge" else 1 - sse / ((y[test] - y[test].mean()) ** 2).sum()
+        w, c = solve(x, y, grid[int(np.argmax(score))])
+        return z @ w + c
+    cut = [np.unique(np.quantile(c, np.linspace(0, 1, 64)[1:-1])) for c in x.T]
+    binned = lambda v: np.array([[int((e < u).sum()) for e, u in zip(cut, row)] for row in v])
+    bx, bz, out = binned(x), binned(z), np.zeros(len(z))
+    if name == "RandomForest":
+        rng = np.random.default_rng(42)
+        for _ in range(100):
+            rows = rng.integers(0, n, n)
+            tree = plain_tree(bx[rows], y[rows], 8, 20, 0.0)
+            out += np.array([tree(v) for v in bz]) / 100
+        return out
+    rest = y - y.mean()
+    for _ in range(100):
+        tree = plain_tree(bx, rest, 4, 1, 1.0)
+        rest = rest - 0.01 * np.array([tree(v) for v in bx])
+        out += 0.01 * np.array([tree(v) for v in bz])
+    return out + y.mean()
+
+
+def test_all_models_against_independent_solvers(spark):
+    r = np.random.default_rng(5)
+    n, names = 150, ["f0", "f1", "f2"]
+    x = r.standard_normal((n, 3))
+    y = 0.8 * x[:, 0] - 0.4 * x[:, 1] ** 2 + 0.5 * r.standard_normal(n)
+    x[r.random(x.shape) < 0.03] = np.nan
+    rows = [("d", i * 10, i, *(None if math.isnan(v) else float(v) for v in x[i]), float(y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "date string, trade_ts bigint, i int, f0 double, f1 double, f2 double, y_5s_ret double")
+    # one refit: the rows before 1100 train, the others are predicted
+    got = models.rolling_predict(df, names, train=1100, step=1000, least=50, keep=["i"]).collect()
+    for name in models.MODELS:
+        mine = {v.i: v.y_pred for v in got if v.model == name}
+        assert sorted(mine) == list(range(110, 150))
+        want = plain_fit(name, x[:110], y[:110], x[110:])
+        np.testing.assert_allclose([mine[i] for i in sorted(mine)], want, atol=2e-3 * y.std(), err_msg=name)
+
+
 def test_rolling_predictions_are_one_a_row(spark):
     rows = [("d", i * 10, i, float(i % 7), float(i % 7) / 10) for i in range(600)]
     df = spark.createDataFrame(rows, "date string, trade_ts bigint, ticker int, f double, y_5s_ret double")

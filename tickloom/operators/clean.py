@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import coerce, holds, ratio
+from tickloom.operators.windows import tie_order
 
 NUMBERS = ("price", "size", "bid_price", "ask_price", "bid_size", "ask_size")
 RULES = {
@@ -31,13 +32,14 @@ def add_rolling_deviation(df: DataFrame, key: str = "ticker", order: Sequence[st
     """rolling_med_mid, abs_dev_mid and rolling_mean_abs_dev_mid over a centred window of rows of the key.
 
     The window has ``rows`` rows, one more before than after, and crosses days; with fewer than ``least`` values there
-    is none.
+    is none. Rows of one time are in the order of ``tie_order``.
     """
-    frame = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows // 2), rows - rows // 2 - 1)
+    df = df.withColumn("__tie", tie_order(df))
+    frame = Window.partitionBy(key).orderBy(*order, "__tie").rowsBetween(-(rows // 2), rows - rows // 2 - 1)
     enough = lambda c, v: F.when(F.count(c).over(frame) >= least, v)
     df = df.withColumn("rolling_med_mid", enough("mid", F.expr("percentile(mid, 0.5)").over(frame)))
     df = df.withColumn("abs_dev_mid", F.abs(F.col("mid") - F.col("rolling_med_mid")))
-    return df.withColumn("rolling_mean_abs_dev_mid", enough("abs_dev_mid", F.avg("abs_dev_mid").over(frame)))
+    return df.withColumn("rolling_mean_abs_dev_mid", enough("abs_dev_mid", F.avg("abs_dev_mid").over(frame))).drop("__tie")
 
 
 def rule_columns() -> dict[str, Column]:
@@ -94,9 +96,9 @@ FIRST = ("conditions", "correction", "exchange", "dt", "date", "underlying", "ex
 def merge_simultaneous(df: DataFrame, key: str = "ticker", ts: str = "trade_ts", sum_quote_sizes: bool = True) -> DataFrame:
     """One row per (key, time): medians of prices, sums of sizes, and of other columns the first non-null by quote time.
 
-    Spread and mid come from the medians. ``sum_quote_sizes=False`` takes the first quote sizes instead.
+    Trades of one time usually meet one quote; then the first in the file counts (see ``tie_order``). Spread and mid come from the medians. ``sum_quote_sizes=False`` takes the first quote sizes instead.
     """
-    order = F.struct(*(c for c in ("quote_ts", "sequence_number") if c in df.columns))
+    order = F.struct(*(F.col(c) for c in ("quote_ts", "sequence_number") if c in df.columns), tie_order(df).alias("tie"))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
     sizes = ["size", *(("ask_size", "bid_size") if sum_quote_sizes else ())]
     aggs = []

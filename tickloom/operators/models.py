@@ -54,6 +54,15 @@ def ridge(x: np.ndarray, y: np.ndarray, alphas: Sequence[float]) -> list[tuple[n
     return out
 
 
+def _duality_gap(w: np.ndarray, q: np.ndarray, grad: np.ndarray, energy: float, l1: float, l2: float) -> float:
+    """How far squares / 2 + l1 |w|_1 + l2 |w|^2 / 2 can be above its least value; all terms are means over rows."""
+    rest = max(energy - 2 * float(q @ w) + float(w @ grad), 0.0)
+    steepest = float(np.abs(q - grad - l2 * w).max(initial=0))
+    c = l1 / steepest if steepest > l1 else 1.0
+    gap = 0.5 * rest * (1 + c * c) if c < 1 else rest
+    return gap + l1 * float(np.abs(w).sum()) - c * (energy - float(q @ w)) + 0.5 * l2 * (1 + c * c) * float(w @ w)
+
+
 def enet_path(x: np.ndarray, y: np.ndarray, alphas: Sequence[float], l1: float, most: int = 20000, tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
     """Coordinate descent on squares / 2n + alpha (l1 |w|_1 + (1 - l1) |w|^2 / 2), warm from alpha to alpha."""
     n, m = x.shape
@@ -76,10 +85,8 @@ def enet_path(x: np.ndarray, y: np.ndarray, alphas: Sequence[float], l1: float,
                     grad += gram[:, j] * (new - old)
                     w[j] = new
                 widest, biggest = max(widest, abs(new - old)), max(biggest, abs(new))
-            if widest <= tol * biggest or biggest == 0:
-                gap = energy - 2 * float(q @ w) + float(w @ gram @ w)
-                if gap >= 0:
-                    break
+            if (widest <= tol * biggest or biggest == 0) and _duality_gap(w, q, grad, energy, a * l1, a * (1 - l1)) <= tol * energy:
+                break
         out.append((w.copy(), my - mx @ w))
     return out
 
@@ -176,7 +183,12 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 8, l
     rng, edges = np.random.default_rng(seed), _edges(x)
     bins = _binned(x, edges)
     grown = [Tree(bins, y, rng.integers(0, len(y), len(y)), depth, least) for _ in range(trees)]
-    return lambda z: np.mean([t.predict(_binned(z, edges)) for t in grown], axis=0)
+
+    def predict(z: np.ndarray) -> np.ndarray:
+        held = _binned(z, edges)
+        return np.mean([t.predict(held) for t in grown], axis=0)
+
+    return predict
 
 
 def fit_boosting(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 4, rate: float = 0.01, shrink: float = 1.0) -> Callable[[np.ndarray], np.ndarray]:
@@ -188,7 +200,12 @@ def fit_boosting(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 4,
         t = Tree(bins, rest, rows, depth, 1, shrink)
         rest = rest - rate * t.predict(bins)
         grown.append(t)
-    return lambda z: base + rate * np.sum([t.predict(_binned(z, edges)) for t in grown], axis=0)
+
+    def predict(z: np.ndarray) -> np.ndarray:
+        held = _binned(z, edges)
+        return base + rate * np.sum([t.predict(held) for t in grown], axis=0)
+
+    return predict
 
 
 MODELS = ("Lasso", "Ridge", "ElasticNet", "RandomForest", "XGBoost")
@@ -204,13 +221,18 @@ def fit(name: str, x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.nd
     return lambda v: inner(prepared(v))
 
 
+def valid_labels(df: DataFrame, ts: str, y: str) -> DataFrame:
+    """The rows with a time and a finite label."""
+    return df.filter(f"{ts} is not null and {y} is not null and not isnan({y}) and abs({y}) <> double('inf')")
+
+
 def rolling_predict(df: DataFrame, features: Sequence[str], models: Sequence[str] = MODELS, groups: Sequence[str] = ("date",), ts: str = "trade_ts", y: str = "y_5s_ret", train: int = 1_800_000_000_000, step: int = 300_000_000_000, least: int = 200, keep: Sequence[str] = (), purge: int = 0) -> DataFrame:
     """(keep, groups, ts, y, refit, model, y_pred): every row that a refit predicts, once a model.
 
     A task holds one refit's rows; all refits of all groups are one shuffle and no job of their own.
     """
     own = list(dict.fromkeys([*keep, *groups, ts, y]))
-    clean = df.filter(f"{ts} is not null and {y} is not null and not isnan({y}) and abs({y}) <> double('inf')")
+    clean = valid_labels(df, ts, y)
     rows = assign(clean.select(*own, *features), groups, ts, train, step, purge)
     schema = T.StructType([clean.schema[c] for c in own] + [T.StructField("refit", T.LongType()), T.StructField("model", T.StringType()), T.StructField("y_pred", T.DoubleType())])
 

@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import functions as F
+
+#: The place of a trade in its file; ``load_trades`` adds it.
+TRADE_ORDER = "trade_order"
+
+
+def tie_order(df: DataFrame) -> Column:
+    """What orders rows of equal times: their place in the file, or else a hash of the whole row, so that the order of input never matters."""
+    if TRADE_ORDER in df.columns:
+        return F.col(TRADE_ORDER)
+    return F.xxhash64(*sorted(c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+
 
 
 def span_label(left: float, right: float) -> str:

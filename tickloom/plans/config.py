@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from pathlib import Path
 
-#: The 78 underlyings that are kept by default.
-UNDERLYINGS = tuple(
-    "WMT WFC VZ USB UPS UNP UNH TXN TJX TGT T SYK SO SBUX QCOM PNC PG PFE PEP ORCL NVDA NKE NFLX MSFT MS MRK MO MMM MDT MCD MA LOW LMT LLY KO JPM JNJ ISRG INTU INTC IBM HON HD GS GOOG GILD GE FISV FIS DUK DHR D CVX CVS CSCO CRM COST COP CME CMCSA CI CB CAT C BSX BMY BDX BAC BA AXP AMZN AMT AMGN ADP ADBE ACN ABT AAPL".split()
-)
+#: The 78 underlyings that are kept by default: members of a large-cap index, as the specification of the experiment lists them.
+UNDERLYINGS = tuple(Path(__file__).with_name("underlyings.txt").read_text().split())
 CONTRACT_DAY = ("date", "underlying", "expiry", "cp_flag", "strike")
 #: Edges, in seconds, of nine spans of history that follow each other.
 EDGES = (0, 5, 10, 20, 40, 80, 120, 180, 240, 300)

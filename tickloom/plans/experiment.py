@@ -23,7 +23,11 @@ from tickloom.operators.metrics import evaluate
 from tickloom.operators.models import rolling_predict
 from tickloom.operators.select import add_dte, add_moneyness, add_spot, at_least, explode_caps, in_dte, keep_top
 from tickloom.plans.config import Settings
-from tickloom.sources.io import ensure_tables, read_spots, write_summary
+from tickloom.sources.io import ensure_tables, read_spots, scratch, setting, write_summary
+
+
+#: Closing prices that are read where the command line names no file.
+SPOT_CSV = "spot_prices.csv"
 
 
 def align(trades: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -44,9 +48,11 @@ def tidy(merged: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def feature_table(trades: DataFrame, quotes: DataFrame, spots: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Each cleaned tick near expiry with its direction, features and the labels of all horizons."""
-    # hundreds of guarded columns make the optimiser's derived constraints grow without end, and no filter needs them
-    trades.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    """Each cleaned tick near expiry with its direction, features and the labels of all horizons.
+
+    Plan it under ``spark.sql.constraintPropagation.enabled = false``, as ``run`` does: hundreds of guarded columns make the
+    optimiser's derived constraints grow without end, and no filter needs them.
+    """
     trades = at_least(trades.filter(F.col("underlying").isin(list(settings.underlyings))), ["underlying"], settings.min_rows)
     df = add_dte(tidy(align(trades, quotes), settings))
     df = add_moneyness(in_dte(add_spot(df, spots, low=settings.dte[0], high=settings.dte[1]), *settings.dte))
@@ -69,8 +75,15 @@ def cells(features: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def run(trades: DataFrame, quotes: DataFrame, spots: DataFrame, settings: Settings = Settings(), models: bool = True) -> DataFrame:
-    """A row per cell and model with n, rmse, r2 and dir_acc; without models a row per cell with n_feat_rows."""
-    table = feature_table(trades, quotes, spots, settings).persist()
+    """A row per cell and model with n, rmse, r2 and dir_acc; without models a row per cell with n_feat_rows.
+
+    The feature table, which all cells read, is written to the shared folder once.
+    """
+    spark = trades.sparkSession
+    path = scratch(spark, "features")
+    with setting(spark, "spark.sql.constraintPropagation.enabled", "false"):
+        feature_table(trades, quotes, spots, settings).write.parquet(path)
+    table = spark.read.parquet(path)
     long = cells(table, settings)
     group = ["underlying", "moneyness", "horizon"]
     if not models:
@@ -94,7 +107,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--no-prepare", action="store_true", help="take the tables as they are in the output folder")
     p.add_argument("--trade-parquet")
     p.add_argument("--quote-parquet")
-    p.add_argument("--spot-csv", help="prices by Ticker; without it strikes near expiry stand in")
+    p.add_argument("--spot-csv", help=f"prices by Ticker; by default {SPOT_CSV} in the data folder, and without that strikes near expiry stand in")
     p.add_argument("--spot-price-col", default="Close_Price_2025-12-01")
     p.add_argument("--tickers", help="names between commas")
     p.add_argument("--no-models", action="store_true")
@@ -108,7 +121,7 @@ def main(args: list[str] | None = None) -> None:
     else:
         trades, quotes = ensure_tables(spark, a.data_dir, a.output_dir, a.trade_csv, a.quote_csv)
     settings = Settings(underlyings=tuple(t.strip() for t in a.tickers.split(","))) if a.tickers else Settings()
-    spots = read_spots(spark, a.spot_csv, a.spot_price_col)
+    spots = read_spots(spark, a.spot_csv or f"{a.data_dir}/{SPOT_CSV}", a.spot_price_col)
     result = run(spark.read.parquet(trades), spark.read.parquet(quotes), spots, settings, not a.no_models)
     write_summary(result, f"{a.output_dir}/summary_experiment.csv")
 

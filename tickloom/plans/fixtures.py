@@ -45,6 +45,16 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_spread(merged(spark, sf_dir).filter("quote_ts is not null"))
 
 
+def spiked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``priced`` with some crossed quotes, outliers and wide ratios, which the tables have none of."""
+    i, bid, ask = F.col("event_id"), F.col("bid_price"), F.col("ask_price")
+    x = merged(spark, sf_dir).filter("quote_ts is not null")
+    crossed, far, wide = i % 97 == 0, i % 101 == 0, i % 89 == 0
+    new_bid = F.when(crossed, ask).when(far, bid * 100).otherwise(bid)
+    new_ask = F.when(crossed, bid).when(far, ask * 100).when(wide, bid * 8).otherwise(ask)
+    return add_spread(x.withColumns({"bid_price": new_bid, "ask_price": new_ask}))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as option trades: a supplier is an underlying, a part a contract."""
     li = table(spark, sf_dir, "lineitem")

@@ -13,9 +13,10 @@ from tickloom.functions.times import clock_columns, in_session
 from tickloom.operators import clean, features, metrics, models, rolling, select
 from tickloom.operators.direction import add_direction
 from tickloom.operators.labels import LABEL, add_label
-from tickloom.operators.windows import span_label
+from tickloom.operators.windows import TRADE_ORDER, span_label
 from tickloom.plans.config import Settings
-from tickloom.plans.fixtures import HOUR, items, merged, priced, spots, table, ticks, trades
+from tickloom.plans.fixtures import HOUR, items, merged, priced, spiked, spots, table, ticks, trades
+from tickloom.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +29,8 @@ TRADES = "trades as (select ticker, t as trade_ts, date, event_type, value as pr
 QUOTES = "quotes as (select ticker, t as quote_ts, value as bid_price, value * (1e0 + k / 1e3) as ask_price, k % 7 as bid_size, k % 5 as ask_size, k % 3 as bid_exchange, k % 4 as ask_exchange, event_id as sequence_number from ev where event_type not in ('click', 'purchase', 'signup'))"
 MERGED = "merged as (select t.*, q.* exclude (ticker) from trades t asof left join quotes q on t.ticker = q.ticker and t.trade_ts >= q.quote_ts)"
 PRICED = "priced as (select *, ask_price - bid_price as spread, (ask_price + bid_price) / 2 as mid from merged where quote_ts is not null)"
+SPIKED = "spiked as (select * replace (case when event_id % 97 = 0 then ask_price when event_id % 101 = 0 then bid_price * 100 else bid_price end as bid_price, case when event_id % 97 = 0 then bid_price when event_id % 101 = 0 then ask_price * 100 when event_id % 89 = 0 then bid_price * 8 else ask_price end as ask_price) from merged where quote_ts is not null)"
+BASE_SPIKED = f"with {EV}, {TRADES}, {QUOTES}, {MERGED}, {SPIKED}, {PRICED.replace('from merged', 'from spiked')}"
 BASE = f"with {EV}, {TRADES}, {QUOTES}, {MERGED}, {PRICED}"
 ITEMS = "items as (select l_suppkey as underlying, l_partkey as ticker, cast(l_shipdate as date) as date, cast(l_shipdate as date) + cast(l_linenumber * 4 - 4 as integer) as expiry, cast(900 + l_partkey % 1000 as double) as strike, l_quantity as size from lineitem)"
 SPOTS = "spots as (select s_suppkey as underlying, cast(1000 + s_suppkey % 400 as double) as spot from supplier where s_suppkey % 3 <> 0)"
@@ -107,7 +110,7 @@ def symbol_regex_filter(spark, d):
 
 @query(f"with {EV}, {SYMBOL_SQL} select event_id, symbol from symbols where symbol like 'O:S%'")
 def prefix_scan(spark, d):
-    return symbols(spark, d).filter(F.col("symbol").startswith("O:S")).select("event_id", "symbol")
+    return io.scan_prefix(symbols(spark, d).withColumn("ticker", F.col("symbol")), "S").select("event_id", "symbol")
 
 
 @query("select event_id, event_type from events where event_type in ('click', 'view')")
@@ -163,7 +166,9 @@ def flagged(spark, d) -> DataFrame:
 
 
 def _rule_query(rule: str) -> None:
-    query(f"{BASE}, {DEVIATION} select ticker, trade_ts from flagged where {rule}", f"rule_{rule}")(lambda spark, d: flagged(spark, d).filter(F.col(rule)).select("ticker", "trade_ts"))
+    """Crossed quotes, outliers and wide ratios are put in where the tables have none."""
+    base, rows = (BASE_SPIKED, spiked) if rule in ("c2", "c5", "c6") else (BASE, priced)
+    query(f"{base}, {DEVIATION} select ticker, trade_ts from flagged where {rule}", f"rule_{rule}")(lambda spark, d: clean.flag_rules(rows(spark, d)).filter(F.col(rule)).select("ticker", "trade_ts"))
 
 
 for _rule in clean.RULES:
@@ -213,6 +218,25 @@ def dedup_ticks(spark, d):
     return rounded(out, *cols, places=9).select("ticker", "trade_ts", "price", "ask_price", "bid_price", "size", "ask_size", "bid_size", "sequence_number", "quote_ts", "spread", "mid")
 
 
+# ---- ties: trades of one day are simultaneous, and most of them meet one quote
+TIED = f"tied as (select * replace (trade_ts - trade_ts % {DAY} as trade_ts), case when size % 5 = 0 then null else event_type end as conditions from priced)"
+
+
+def tied(spark, d) -> DataFrame:
+    return priced(spark, d).withColumns({"trade_ts": F.col("trade_ts") - F.col("trade_ts") % DAY, "conditions": F.when(F.col("size") % 5 != 0, F.col("event_type")), TRADE_ORDER: F.col("event_id")})
+
+
+@query(f"{BASE}, {TIED} select ticker, trade_ts, first(conditions order by quote_ts, sequence_number, event_id) filter (where conditions is not null) as conditions, count(*) as n from tied group by ticker, trade_ts")
+def dedup_ties(spark, d):
+    x = tied(spark, d)
+    return clean.merge_simultaneous(x).select("ticker", "trade_ts", "conditions").join(x.groupBy("ticker", "trade_ts").agg(F.count(F.lit(1)).alias("n")), ["ticker", "trade_ts"])
+
+
+@query(f"{BASE}, {TIED}, m as (select event_id, case when count(mid) over c >= 25 then median(mid) over c end as v from tied window c as (partition by ticker order by date, trade_ts, event_id rows between 25 preceding and 24 following)) select event_id, round(v, 9) as rolling_med_mid from m")
+def rolling_median_ties(spark, d):
+    return rounded(clean.add_rolling_deviation(tied(spark, d)).select("event_id", "rolling_med_mid"), "rolling_med_mid", places=9)
+
+
 # ---- direction and features
 DIRECTION = """moves as (select *, sign(price - lag(price) over (partition by ticker order by trade_ts)) as tick from mids),
 carried as (select *, last_value(case when tick <> 0 then tick end ignore nulls) over (partition by ticker order by trade_ts rows between unbounded preceding and current row) as carry from moves),
@@ -294,6 +318,21 @@ def predictor_select(spark, d):
     return spark.createDataFrame(list(enumerate(used)), "position int, feature string")
 
 
+def _filled_sql(spans) -> str:
+    held = [f for f in features.FAMILIES if f != "turnover"]
+    counts = [f"select '{features.column_name(f, *s)}' as feature, count({features.column_name(f, *s)}) as n from f" for f in held for s in spans]
+    counts += [f"select '{features.column_name('turnover', *s)}', 0" for s in spans]
+    return f"with f as ({features_sql(held, spans)}), n as ({' union all '.join(counts)}) select feature from n where n > 0 and regexp_matches(feature, '^({'|'.join(features.FAMILIES)})__')"
+
+
+@query(_filled_sql(SPANS[:2]))
+def prune_all_null(spark, d):
+    """Without a base for the turnover its columns are all null and go."""
+    x = features.add_features(mids(spark, d), SPANS[:2], ["ticker"], seq="event_id", tick=HOUR)
+    used = features.filled_columns(x, features.predictor_columns(x.columns))
+    return spark.createDataFrame([(c,) for c in used], "feature string")
+
+
 _OCC = " union all ".join(f"select ticker, '{span_label(a, b)}' as span, count(*) over (partition by ticker order by trade_ts range between {b * HOUR - 1} preceding and {a * HOUR} preceding) as n from trades" for a, b in SPANS)
 
 
@@ -360,6 +399,58 @@ def min_group_rows(spark, d):
     return select.at_least(trades(spark, d), ["ticker"], 40).select("ticker", "trade_ts")
 
 
+# ---- files: written, read and written again as the experiment does it
+QUOTE_SQL = "select symbol as ticker, cast(k % 3 as integer) as ask_exchange, k * 1.5e0 as ask_price, k as ask_size, cast(k % 4 as integer) as bid_exchange, k * 1.25e0 as bid_price, k % 7 as bid_size, event_id as sequence_number, t * 1000 as sip_timestamp from symbols"
+
+
+def quote_file(spark, d, files: int = 3) -> str:
+    k, path = F.col("k"), io.scratch(spark, "quotes.csv")
+    x = symbols(spark, d).select(
+        F.lit("x").alias("tape"), F.col("symbol").alias("ticker"), (k % 3).alias("ask_exchange"), (k * 1.5).alias("ask_price"), k.alias("ask_size"), (k % 4).alias("bid_exchange"),
+        (k * 1.25).alias("bid_price"), (k % 7).alias("bid_size"), F.col("event_id").alias("sequence_number"), (F.col("t") * 1000).alias("sip_timestamp"),
+    )
+    x = x.repartition(files) if files > 1 else x.coalesce(1).sortWithinPartitions("sequence_number")
+    x.write.csv(path, header=True, compression="gzip")
+    return path
+
+
+@query(f"with {EV}, {SYMBOL_SQL} {QUOTE_SQL} where regexp_matches(symbol, '^O:(VIEW|ERROR)[0-9]{{6}}[CP]')")
+def csv_to_parquet(spark, d):
+    path = io.scratch(spark, "quotes.parquet")
+    io.write_quotes(io.filter_quotes(io.load_quotes(spark, quote_file(spark, d)), ("VIEW", "ERROR")), path)
+    return spark.read.parquet(path)
+
+
+@query("select event_id as sequence_number from events order by event_id limit 50")
+def csv_first_rows(spark, d):
+    return io.load_quotes(spark, quote_file(spark, d, 1), rows=50).select("sequence_number")
+
+
+@query(f"with {EV}, {SYMBOL_SQL} select symbol as ticker, k * 0.25e0 as price, k as size, upper(symbols.event_type) as underlying, cast(ts as date) as date, cast(ts as date) as expiry, case when k % 2 = 0 then 'C' else 'P' end as cp_flag, k + 0.5e0 as strike from symbols join events using (event_id) where symbols.event_type in ('click', 'signup')")
+def trades_to_parquet(spark, d):
+    source, path = io.scratch(spark, "trades.csv"), io.scratch(spark, "trades.parquet")
+    x = symbols(spark, d).select(F.col("symbol").alias("ticker"), F.lit("209").alias("conditions"), F.lit(0).alias("correction"), F.lit(1).alias("exchange"), (F.col("k") * 0.25).alias("price"), (F.col("t") * 1000).alias("sip_timestamp"), F.col("k").alias("size"))
+    x.write.csv(source, header=True)
+    io.write_trades(io.load_trades(spark, source, ["CLICK", "SIGNUP"]), path)
+    return spark.read.parquet(path).select("ticker", "price", "size", "underlying", "date", "expiry", "cp_flag", "strike")
+
+
+@query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
+def summary_csv(spark, d):
+    path = io.scratch(spark, "summary.csv")
+    for _ in range(2):  # the second one replaces the first
+        io.write_summary(rounded(table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "total", places=4), path)
+    return spark.read.csv(path, header=True, schema="event_type string, n bigint, total double")
+
+
+@query("select 'S' || s_suppkey as underlying, case when s_suppkey % 3 <> 0 then cast(1000 + s_suppkey % 400 as double) end as spot from supplier")
+def spot_csv(spark, d):
+    path, k = io.scratch(spark, "spots.csv"), F.col("s_suppkey")
+    px = F.when(k % 3 != 0, (1000 + k % 400).cast("string")).otherwise("n/a")
+    table(spark, d, "supplier").select(F.concat(F.lit("S"), k.cast("string")).alias("Ticker"), px.alias("px"), F.lit("OK").alias("Status")).write.csv(path, header=True)
+    return io.read_spots(spark, path, "px")
+
+
 # ---- rolling refits
 TRAIN, STEP, LEAST = 120 * HOUR, 24 * HOUR, 3
 GRID = f"rows_ as (select ticker, trade_ts, price, y from labelled where y is not null), grid as (select ticker, min(trade_ts) + {TRAIN} as first, max(trade_ts) as last from rows_ group by ticker having min(trade_ts) + {TRAIN} < max(trade_ts)), grid2 as (select *, cast(floor((last - first) / {STEP}e0) as bigint) + 1 as refits from grid)"
@@ -373,6 +464,18 @@ def label_rows(spark, d) -> DataFrame:
     return labelled(spark, d).filter(F.col(LABEL).isNotNull()).select("ticker", "trade_ts", "price", F.col(LABEL).alias("y"))
 
 
+@query(f"{BASE}, {label_sql(30)} select ticker, trade_ts from labelled qualify count(y) over (partition by ticker) >= 30")
+def min_labels(spark, d):
+    return select.at_least(labelled(spark, d), ["ticker"], 30, LABEL).select("ticker", "trade_ts")
+
+
+@query(f"{BASE}, {label_sql(30)} select ticker, trade_ts, round(y, 6) as y from labelled where event_id % 7 > 2 and y is not null")
+def valid_labels(spark, d):
+    i = F.col("event_id") % 7
+    y = F.when(i == 1, F.lit(float("nan"))).when(i == 2, F.lit(float("inf"))).when(i > 2, F.col(LABEL))
+    return rounded(models.valid_labels(labelled(spark, d).withColumn("y", y), "trade_ts", "y").select("ticker", "trade_ts", "y"), "y")
+
+
 def baseline(spark, d) -> DataFrame:
     return rolling.mean_baseline(label_rows(spark, d), ["ticker"], "trade_ts", "y", TRAIN, STEP, LEAST)
 
