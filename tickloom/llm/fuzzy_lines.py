@@ -6,10 +6,10 @@ that share a band are verified with their exact Jaccard index, and union-find jo
 pairs. Of each component the line that comes first by (doc_id, line number) stays.
 
 Within a band's bucket every member is first verified against the bucket's least, so that a bucket of
-copies costs its size. Members that are still in different components are then paired where they share
-one of their prefix shingles: the rarest |x| - ceil(t |x|) + 1 of a line's, without one of which no pair reaches
-the threshold t. So no pair of a bucket that could join two components is skipped, and lines that
-share a common stretch only don't meet.
+copies costs its size. Members that are still in different components are then paired, all of them in a bucket of at
+most ``PAIRED``; in a larger one those that share one of their prefix shingles: the rarest |x| - ceil(t |x|) + 1 of a
+line's, without one of which no pair reaches the threshold t. So no pair of a bucket that could join two components is
+skipped, and many lines that share a common stretch only don't meet.
 
 Only hashes and positions are shuffled for the search; texts are shuffled once for the candidates
 and once for the result.
@@ -36,6 +36,7 @@ SHINGLE = 6
 THRESHOLD = 0.75
 BANDS = 10
 ROWS = 5
+PAIRED = 32
 SLICE = 1 << 18
 _SPACE = np.array([9, 10, 11, 12, 13, 32, 133, 160], np.uint32)
 
@@ -273,9 +274,15 @@ def _line_groups(keyed: DataFrame, shingle: int, threshold: float, bands: int, r
     found = materialise(components(star.filter("good")), "line-components")
     # members of one bucket that are still apart
     placed = buckets.select("key", "id").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    ends = {"lo": F.min("root").over(Window.partitionBy("key")), "hi": F.max("root").over(Window.partitionBy("key"))}
-    apart = materialise(placed.withColumns(ends).filter("lo <> hi").select("key", "id", "root"), "line-apart")
-    rest = prefix_pairs(apart, texts, shingle, threshold)
+    same = Window.partitionBy("key")
+    ends = {"lo": F.min("root").over(same), "hi": F.max("root").over(same), "n": F.count(F.lit(1)).over(same)}
+    apart = materialise(placed.withColumns(ends).filter("lo <> hi").select("key", "id", "root", "n"), "line-apart")
+    few = apart.filter(F.col("n") <= PAIRED).drop("n")
+    x, y = few.toDF("key", "a", "ra"), few.toDF("key", "b", "rb")
+    rest = x.join(y, "key").filter("a > b and ra <> rb").select("a", "b").distinct()
+    many = apart.filter(F.col("n") > PAIRED).drop("n")
+    if not many.isEmpty():
+        rest = rest.unionByName(prefix_pairs(many, texts, shingle, threshold)).distinct()
     rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti")  # a star's pairs have a > b too
     rest = materialise(verified(rest), "line-rest")
     linked = found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(rest.filter("good").select("a", "b"))
