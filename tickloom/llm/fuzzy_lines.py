@@ -5,7 +5,7 @@ are grouped by a 128-bit hash; of the distinct ones, MinHash signatures are cut
 that share a band are verified with their exact Jaccard index, and union-find joins the verified
 pairs. Of each component the line that comes first by (doc_id, line number) stays.
 
-Within a band's bucket every member is first verified against the bucket's least, so that a bucket of
+Within a band's bucket every member is first verified against one of them, so that a bucket of
 copies costs its size. Members that are still in different components are then paired, all of them in a bucket of at
 most ``PAIRED``; in a larger one those that share one of their prefix shingles: the rarest |x| - ceil(t |x|) + 1 of a
 line's, without one of which no pair reaches the threshold t. So no pair of a bucket that could join two components is
@@ -36,7 +36,7 @@ SHINGLE = 6
 THRESHOLD = 0.75
 BANDS = 10
 ROWS = 5
-PAIRED = 32
+PAIRED = 128
 SLICE = 1 << 18
 _SPACE = np.array([9, 10, 11, 12, 13, 32, 133, 160], np.uint32)
 
@@ -132,8 +132,8 @@ def _scan(shingle: int, bands: int, rows: int):
 
 
 def _buckets(batches):
-    """(key, id, lead) of the keys that two or more ids share, lead being the least; rows come sorted by (key, id), so a task holds one batch."""
-    last, lead, lone = None, None, False  # of the rows before: their last key, its least id, whether that is its only one
+    """(key, id, lead) of the keys that two or more ids share, lead being the first that comes; rows come sorted by key, so a task holds one batch."""
+    last, lead, lone = None, None, False  # of the rows before: their last key, its lead, whether that is its only id
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -256,7 +256,7 @@ def _line_groups(keyed: DataFrame, shingle: int, threshold: float, bands: int, r
 
     firsts = lines.filter("first").select("doc_id", "doc_key", "line", "id")
     keys = lines.filter("first and b0 is not null").select(F.explode(F.array(*band)).alias("key"), "id")
-    buckets = materialise(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_buckets, "key long, id binary, lead binary"), "line-buckets")
+    buckets = materialise(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "key long, id binary, lead binary"), "line-buckets")
 
     # texts of all lines that share a bucket
     wanted = firsts.join(buckets.select("id").distinct(), "id").groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
@@ -269,7 +269,7 @@ def _line_groups(keyed: DataFrame, shingle: int, threshold: float, bands: int, r
         b = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, threshold), "a binary, b binary, good boolean")
 
-    star = buckets.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    star = buckets.filter("id <> lead").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
     star = materialise(verified(star), "line-stars")
     found = materialise(components(star.filter("good")), "line-components")
     # members of one bucket that are still apart
