@@ -37,6 +37,7 @@ THRESHOLD = 0.75
 BANDS = 10
 ROWS = 5
 PAIRED = 128
+COUNTS = 1 << 16
 SLICE = 1 << 18
 _SPACE = np.array([9, 10, 11, 12, 13, 32, 133, 160], np.uint32)
 
@@ -176,14 +177,43 @@ def _tokens(text: str, k: int) -> np.ndarray:
     return range_hashes(prefix_sums(codes), start, np.minimum(start + k, len(codes)))
 
 
+def _often(batches):
+    """How many lines have a shingle of each of ``COUNTS`` classes of hashes."""
+    total = np.zeros(COUNTS, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column("tokens").flatten().to_numpy() & (COUNTS - 1), minlength=COUNTS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["class", "n"])
+
+
+def _prefixes(often: np.ndarray, threshold: float):
+    """(id, size, tokens): a line's number of shingles and those of its prefix."""
+
+    def run(batches):
+        for batch in batches:
+            at, flat = np.append(0, np.cumsum(batch.column("tokens").value_lengths().to_numpy())).astype(np.int64), batch.column("tokens").flatten().to_numpy()
+            size = np.diff(at)
+            line = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((flat, often[flat & (COUNTS - 1)], line))  # one order of all shingles, rare ones first
+            many = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+            kept = flat[order][np.arange(len(flat)) - at[line] < many[line]]
+            cut = np.append(0, np.cumsum(np.minimum(many, size))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut), pa.array(kept))], names=["id", "size", "tokens"])
+
+    return run
+
+
 def prefix_pairs(apart: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(a, b), a > b: members of one key of ``apart`` (key, id, root) that have different roots and share a prefix shingle."""
+    """(a, b), a > b: members of one key of ``apart`` (key, id, root) that have different roots and share a prefix shingle.
+
+    Which shingles are rare is told by counts of ``COUNTS`` classes of their hashes; any one order of all shingles misses no pair.
+    """
     held = materialise(apart.select("id").distinct().join(texts, "id").mapInArrow(_shingles(shingle), "id binary, tokens array<long>"), "line-shingles")
-    flat = held.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    often = flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = flat.join(often, "token").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("r"))
-    prefix = ranked.select("id", "size", F.explode(F.expr(f"slice(r, 1, size - cast(ceil({threshold}D * size - 1e-9D) as int) + 1).token")).alias("token"))
-    placed = apart.join(prefix, "id")
+    often = np.zeros(COUNTS, np.int64)
+    for r in held.mapInArrow(_often, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most COUNTS rows
+        often[r["class"]] = r.n
+    prefix = held.mapInArrow(_prefixes(often, threshold), "id binary, size int, tokens array<long>")
+    placed = apart.join(prefix, "id").select("id", "key", "root", "size", F.explode("tokens").alias("token"))
     x, y = placed.toDF("a", "key", "ra", "sa", "token"), placed.toDF("b", "key", "rb", "sb", "token")
     return x.join(y, ["key", "token"]).filter(f"a > b and ra <> rb and least(sa, sb) >= {threshold}D * greatest(sa, sb)").select("a", "b").distinct()
 
