@@ -111,6 +111,31 @@ def test_large_buckets_give_the_same_lines(spark, make, write, monkeypatch):
     assert sorted((x.doc_id, x.text) for x in fl.dedup_lines(make(rows)).collect()) == want
 
 
+def test_strays_of_a_large_bucket_cost_few_comparisons():
+    r = random.Random(8)
+    base = ["".join(r.choices(string.ascii_lowercase, k=r.randint(3, 8))) for _ in range(60)]
+    compared = {}
+    for n in (200, 800):
+        shares = [0.3 if i % 10 == 0 else 0.02 for i in range(n)]
+        lines = [" ".join("".join(r.choices(string.ascii_lowercase, k=5)) if r.random() < share else w for w in base) for share in shares]
+        # most of the copies are one component already, the strays and every tenth copy are apart
+        root = np.array([0 if share < 0.1 and i % 10 != 1 else i + 1 for i, share in enumerate(shares)])
+        tried = []
+        x, y = fl.joining_pairs(np.zeros(n, np.int64), root, pa.array(lines), fl.SHINGLE, fl.THRESHOLD, tried)
+        near = [(i, j) for i in range(n) if i % 10 < 2 for j in range(n) if root[i] != root[j] and fl.exact_jaccard(lines[i], lines[j]) >= fl.THRESHOLD] if n == 200 else []
+        if near:
+            def joined(pairs):
+                spread = list(range(n + 1))
+                for i, j in pairs:
+                    a, b = spread[root[i]], spread[root[j]]
+                    spread = [min(a, b) if v in (a, b) else v for v in spread]
+                return [spread[v] for v in root]
+
+            assert joined(zip(x, y)) == joined(near) and {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())} <= {(min(p), max(p)) for p in near}
+        compared[n] = sum(tried)
+    assert compared[800] < 0.02 * 160 * 800
+
+
 # ---- n-gram join
 def test_texts_that_share_an_id_are_documents_of_their_own(spark, make, write):
     a, b = write(1, 90), write(2, 90)

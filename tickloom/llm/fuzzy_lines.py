@@ -6,10 +6,11 @@ that share a band are verified with their exact Jaccard index, and union-find jo
 pairs. Of each component the line that comes first by (doc_id, line number) stays.
 
 Within a band's bucket every member is first verified against one of them, so that a bucket of
-copies costs its size. Members that are still in different components are then paired, all of them in a bucket of at
-most ``PAIRED``; in a larger one those that share one of their prefix shingles: the rarest |x| - ceil(t |x|) + 1 of a
-line's, without one of which no pair reaches the threshold t. So no pair of a bucket that could join two components is
-skipped, and many lines that share a common stretch only don't meet.
+copies costs its size. Buckets whose members are still in different components then go with their texts to one task each (one of more than
+``PAIRED`` members as pairs of tiles). There the shingles of each line are ordered, those that are rare in the bucket first; a near pair's first shared shingle
+stands so early in both lines that the rest of either can still reach the threshold, and lines outside the bucket's largest component are compared with those that
+share one so placed, most shared ones first, until none is left that could join two components. So no pair that could join two is
+skipped, and many copies of a line with a few strays don't cost the square of their number.
 
 Only hashes and positions are shuffled for the search; texts are shuffled once for the candidates
 and once for the result.
@@ -36,8 +37,7 @@ SHINGLE = 6
 THRESHOLD = 0.75
 BANDS = 10
 ROWS = 5
-PAIRED = 128
-COUNTS = 1 << 16
+PAIRED = 4096
 SLICE = 1 << 18
 _SPACE = np.array([9, 10, 11, 12, 13, 32, 133, 160], np.uint32)
 
@@ -158,66 +158,6 @@ def _buckets(batches):
         last, lead = key[-1], ids[int(leads[-1])].as_py()
 
 
-def _shingles(shingle: int):
-    """(id, tokens): the hashes of a line's distinct shingles."""
-
-    def run(batches):
-        for batch in batches:
-            tokens = [np.unique(_tokens(t, shingle)) for t in batch.column("t").to_pylist()]
-            at = np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int32)
-            flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "tokens"])
-
-    return run
-
-
-def _tokens(text: str, k: int) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    start = np.arange(max(1, len(codes) - k + 1))
-    return range_hashes(prefix_sums(codes), start, np.minimum(start + k, len(codes)))
-
-
-def _often(batches):
-    """How many lines have a shingle of each of ``COUNTS`` classes of hashes."""
-    total = np.zeros(COUNTS, np.int64)
-    for batch in batches:
-        total += np.bincount(batch.column("tokens").flatten().to_numpy() & (COUNTS - 1), minlength=COUNTS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["class", "n"])
-
-
-def _prefixes(often: np.ndarray, threshold: float):
-    """(id, size, tokens): a line's number of shingles and those of its prefix."""
-
-    def run(batches):
-        for batch in batches:
-            at, flat = np.append(0, np.cumsum(batch.column("tokens").value_lengths().to_numpy())).astype(np.int64), batch.column("tokens").flatten().to_numpy()
-            size = np.diff(at)
-            line = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((flat, often[flat & (COUNTS - 1)], line))  # one order of all shingles, rare ones first
-            many = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-            kept = flat[order][np.arange(len(flat)) - at[line] < many[line]]
-            cut = np.append(0, np.cumsum(np.minimum(many, size))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut), pa.array(kept))], names=["id", "size", "tokens"])
-
-    return run
-
-
-def prefix_pairs(apart: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(a, b), a > b: members of one key of ``apart`` (key, id, root) that have different roots and share a prefix shingle.
-
-    Which shingles are rare is told by counts of ``COUNTS`` classes of their hashes; any one order of all shingles misses no pair.
-    """
-    held = materialise(apart.select("id").distinct().join(texts, "id").mapInArrow(_shingles(shingle), "id binary, tokens array<long>"), "line-shingles")
-    often = np.zeros(COUNTS, np.int64)
-    for r in held.mapInArrow(_often, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most COUNTS rows
-        often[r["class"]] = r.n
-    prefix = held.mapInArrow(_prefixes(often, threshold), "id binary, size int, tokens array<long>")
-    placed = apart.join(prefix, "id").select("id", "key", "root", "size", F.explode("tokens").alias("token"))
-    x, y = placed.toDF("a", "key", "ra", "sa", "token"), placed.toDF("b", "key", "rb", "sb", "token")
-    return x.join(y, ["key", "token"]).filter(f"a > b and ra <> rb and least(sa, sb) >= {threshold}D * greatest(sa, sb)").select("a", "b").distinct()
-
-
 def exact_jaccard(a: str, b: str, k: int = SHINGLE) -> float:
     """The Jaccard index of the k-character shingles; a shorter text is one shingle."""
     x, y = ({t[i : i + k] for i in range(max(1, len(t) - k + 1))} for t in (a, b))
@@ -225,19 +165,23 @@ def exact_jaccard(a: str, b: str, k: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _line_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all shingles of all texts, by row."""
+    buf, off = text_buffers(texts)
+    codes = _codes(buf)
+    at = _char_offsets(buf, off)
+    count = np.maximum(np.diff(at) - k + 1, 1)
+    row = np.repeat(np.arange(len(count), dtype=np.int64), count)
+    start = np.repeat(at[:-1], count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, range_hashes(prefix_sums(codes), start, np.minimum(start + k, at[1:][row]))
+
+
 def jaccards(a: pa.Array, b: pa.Array, k: int = SHINGLE) -> np.ndarray:
     """The Jaccard index of each pair of texts, from the 44-bit hashes of their distinct shingles."""
     keys = []
     n = len(a)
     for texts in (a, b):
-        buf, off = text_buffers(texts)
-        codes = _codes(buf)
-        at = _char_offsets(buf, off)
-        sums = prefix_sums(codes)
-        count = np.maximum(np.diff(at) - k + 1, 1)
-        pair = np.repeat(np.arange(n, dtype=np.int64), count)
-        start = np.repeat(at[:-1], count) + np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
-        h = range_hashes(sums, start, np.minimum(start + k, at[1:][pair]))
+        pair, h = _line_shingles(texts, k)
         key = np.sort((pair.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
         keys.append(key[np.append(True, key[1:] != key[:-1])] if len(key) else key)
     size = sum(np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=n) for key in keys)
@@ -246,6 +190,159 @@ def jaccards(a: pa.Array, b: pa.Array, k: int = SHINGLE) -> np.ndarray:
     return shared / np.maximum(size - shared, 1)
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for all lo[i] <= j < hi[i]."""
+    count = hi - lo
+    i = np.repeat(np.arange(len(lo)), count)
+    return i, np.arange(len(i)) + np.repeat(lo - np.cumsum(count) + count, count)
+
+
+def joining_pairs(bucket: np.ndarray, root: np.ndarray, texts: pa.Array, shingle: int, threshold: float, tried: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): near rows of one bucket and different roots; these pairs join all roots that near pairs of a bucket join.
+
+    ``bucket`` is sorted, ``root`` are numbers. To ``tried`` the number of pairs compared is added.
+    """
+    n = len(bucket)
+    row, h = _line_shingles(texts, shingle)
+    low = np.uint64(max(n - 1, 1).bit_length())  # the row takes the low bits
+    h = np.sort(mix(h ^ (bucket[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> low << low | row.astype(np.uint64))
+    h = h[np.append(True, h[1:] != h[:-1])[: len(h)]]
+    row, h = (h & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), h >> low
+    token = np.cumsum(np.append(True, h[1:] != h[:-1])[: len(h)]) - 1
+    often = np.bincount(token)
+    m = max(len(often), 1)
+    rank = np.empty(m, np.int64)
+    rank[np.argsort(often)] = np.arange(len(often))
+    sets = np.sort(row * m + rank[token])  # of each row the shingles, those that are rare in its bucket first
+    row, token = np.divmod(sets, m)
+    size = np.bincount(row, minlength=n)
+    at = np.append(0, np.cumsum(size))
+    # when the first shared shingle is x's i-th, at most size - i are shared, and y is no larger than
+    most = np.floor((size[row] - (np.arange(len(sets)) - at[row])) * ((1 + threshold) / threshold) - size[row] + 1e-6).astype(np.int64)
+    least = np.ceil(threshold * size - 1e-6).astype(np.int64)
+    use = np.flatnonzero((most >= least[row]) & (np.sort(often)[token] > 1))
+    row, token, most = row[use], token[use], most[use]
+    wide_ = int(size.max(initial=0)) + 1
+    key = token * wide_ + size[row]
+    index = np.argsort(key)
+    listed, to, limit = key[index], row[index], most[index]
+
+    # components within a bucket, and the largest of each
+    label = np.unique(bucket * (int(root.max(initial=0)) + 1) + root, return_inverse=True)[1]
+    count = np.bincount(label)
+    home = np.empty(len(count), np.int64)
+    home[label] = bucket
+    order = np.lexsort((-count, home))
+    main = np.zeros(int(bucket.max(initial=0)) + 1, np.int64)
+    main[home[order[::-1]]] = order[::-1]
+    up = np.arange(len(count))
+
+    probe = np.flatnonzero(label[row] != main[bucket[row]])
+    lo = np.searchsorted(listed, token[probe] * wide_ + least[row[probe]])
+    hi = np.maximum(lo, np.searchsorted(listed, token[probe] * wide_ + np.minimum(most[probe], wide_ - 1), "right"))
+    cost = np.cumsum(hi - lo)
+    found: list[np.ndarray] = []
+    begin = 0
+    while begin < len(probe):
+        end = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + SLICE, "right")))
+        some = np.arange(begin, end)
+        begin = end
+        x = row[probe[some]]
+        some = some[up[label[x]] != up[main[bucket[x]]]]
+        i, j = _ranges(lo[some], hi[some])
+        x, y = row[probe[some]][i], to[j]
+        go = (limit[j] >= size[x]) & (up[label[x]] != up[label[y]])
+        pair, hits = np.unique(x[go] * n + y[go], return_counts=True)
+        x, y = np.divmod(pair, n)
+        order = np.lexsort((-hits, x))
+        x, y, share = x[order], y[order], 1
+        while len(x):  # a few of each row first, as most join by them
+            now = np.arange(len(x)) - np.searchsorted(x, x) < share
+            good = _near_rows(x[now], y[now], sets, m, at, size, threshold)
+            if tried is not None:
+                tried.append(len(good))
+            found.append(np.stack([x[now][good], y[now][good]]))
+            for a, b in zip(label[x[now][good]].tolist(), label[y[now][good]].tolist()):
+                while up[a] != a:
+                    a = up[a]
+                while up[b] != b:
+                    b = up[b]
+                up[max(a, b)] = min(a, b)
+            while (up[up] != up).any():
+                up = up[up]
+            rest = ~now & (up[label[x]] != up[label[y]])
+            x, y, share = x[rest], y[rest], share * 2
+    x, y = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+    return x, y
+
+
+def _near_rows(x, y, sets, m, at, size, threshold) -> np.ndarray:
+    """Whether the Jaccard index of the sets of rows x and y reaches the threshold."""
+    good = np.zeros(len(x), bool)
+    for i, j in slices(np.append(0, np.cumsum(size[x])), SLICE):
+        pair, k = _ranges(at[x[i:j]], at[x[i:j] + 1])
+        want = y[i:j][pair] * m + sets[k] % m
+        place = np.minimum(np.searchsorted(sets, want), len(sets) - 1)
+        both = np.bincount(pair, sets[place] == want, minlength=j - i)
+        good[i:j] = both / (size[x[i:j]] + size[y[i:j]] - both) >= threshold
+    return good
+
+
+def _join_apart(shingle: int, threshold: float):
+    """(a, b) of the pairs that join members of a bucket which are apart; rows (key, task, id, root, t) come sorted by key and task."""
+
+    def solve(table):
+        key, task = (table.column(c).to_numpy() for c in ("key", "task"))
+        bucket = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (task[1:] != task[:-1])))
+        root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        starts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        apart = np.minimum.reduceat(root, starts[:-1]) != np.maximum.reduceat(root, starts[:-1])
+        use = np.flatnonzero(apart[bucket])
+        if not len(use):
+            return
+        ids, texts, root, bucket = table.column("id").combine_chunks().take(pa.array(use)), table.column("t").combine_chunks().take(pa.array(use)), root[use], bucket[use]
+        starts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        for i, j in slices(text_buffers(texts)[1][starts], SLICE):
+            i, j = int(starts[i]), int(starts[j])
+            x, y = joining_pairs(bucket[i:j] - bucket[i], root[i:j], texts.slice(i, j - i), shingle, threshold)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x + i)), ids.take(pa.array(y + i))], names=["a", "b"])
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, task = batch.column("key").to_numpy(), batch.column("task").to_numpy()
+            last = int(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (task[1:] != task[:-1])))[-1])
+            if held and (held[-1].column("key")[-1].as_py(), held[-1].column("task")[-1].as_py()) != (key[0], task[0]):
+                yield from solve(pa.Table.from_batches(held))
+                held = []
+            if last:
+                yield from solve(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    return run
+
+
+def prefix_pairs(apart: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(a, b), a > b: near members of one key of ``apart`` (key, id, root), enough to join all roots that near members of a key join.
+
+    A key of more than ``PAIRED`` members is cut into tiles of so many, and each pair of tiles is a task.
+    """
+    same = Window.partitionBy("key")
+    n, place = F.count(F.lit(1)).over(same), F.row_number().over(same.orderBy("root", "id")) - 1
+    tiled = apart.withColumns({"tile": F.floor(place / PAIRED), "tiles": F.ceil(n / PAIRED)})
+    # task of tiles (s, t), s <= t, is s * tiles + t
+    tasks = F.expr("transform(sequence(0L, tiles - 1), x -> least(x, tile) * tiles + greatest(x, tile))")
+    sent = tiled.select("key", "id", "root", F.explode(tasks).alias("task")).join(texts, "id").select("key", "task", "id", "root", "t")
+    pairs = sent.repartition("key", "task").sortWithinPartitions("key", "task").mapInArrow(_join_apart(shingle, threshold), "a binary, b binary")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _verify(shingle: int, threshold: float):
     def run(batches):
         for batch in batches:
@@ -305,17 +402,10 @@ def _line_groups(keyed: DataFrame, shingle: int, threshold: float, bands: int, r
     # members of one bucket that are still apart
     placed = buckets.select("key", "id").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     same = Window.partitionBy("key")
-    ends = {"lo": F.min("root").over(same), "hi": F.max("root").over(same), "n": F.count(F.lit(1)).over(same)}
-    apart = materialise(placed.withColumns(ends).filter("lo <> hi").select("key", "id", "root", "n"), "line-apart")
-    few = apart.filter(F.col("n") <= PAIRED).drop("n")
-    x, y = few.toDF("key", "a", "ra"), few.toDF("key", "b", "rb")
-    rest = x.join(y, "key").filter("a > b and ra <> rb").select("a", "b").distinct()
-    many = apart.filter(F.col("n") > PAIRED).drop("n")
-    if not many.isEmpty():
-        rest = rest.unionByName(prefix_pairs(many, texts, shingle, threshold)).distinct()
-    rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti")  # a star's pairs have a > b too
-    rest = materialise(verified(rest), "line-rest")
-    linked = found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(rest.filter("good").select("a", "b"))
+    ends = {"lo": F.min("root").over(same), "hi": F.max("root").over(same)}
+    rest = prefix_pairs(placed.withColumns(ends).filter("lo <> hi").select("key", "id", "root"), texts, shingle, threshold)
+    rest = materialise(rest, "line-rest")
+    linked = found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(rest)
     return lines, firsts, components(linked)
 
 
