@@ -161,6 +161,35 @@ def test_short_texts_near_by_one_gram(spark, make, threshold):
     assert {(0, 1), (0, 2), (900, 901), (900, 902)} <= got
 
 
+def test_every_document_has_its_class_and_links(spark, make, write):
+    rows = near_rows(write) + [(9000 + i, t) for i, t in odd(write) if i] + [(None, "a b c"), (9105, write(5, 120)), (9105, write(5, 120)), (9106, write(5, 120).upper())]
+    rows += [(10000 + i, write(4, 60)) for i in range(300)]  # copies, whose pairs would be 44,850 rows
+    docs = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
+    pairs = {(x.doc_a, x.doc_b) for x in nj.join_near(make(rows)).collect()}
+    degree = defaultdict(int)
+    for p in pairs:
+        for d in p:
+            degree[d] += 1
+    group = union(pairs, [i for i, _ in docs])
+    for tile in (nj.TILE, 3):
+        got = sorted(map(tuple, nj.link_near(make(rows, extra=True), tile=tile).collect()))
+        assert got == [(i, group[i], degree[i]) for i, _ in docs]
+    assert nj.link_near(make([])).count() == 0
+
+
+def test_links_match_sql(spark, tmp_path, make, write):
+    import duckdb
+
+    from tickloom.llm import queries
+
+    rows = [(i, t) for i, t in near_rows(write) if i < 200 and i % 10 < 5] + [(900, write(300, 150)), (901, write(300, 150)), (902, None), (903, "x"), (None, "x")]
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op8_ngram_join(spark, str(tmp_path)).collect()))
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(duck.sql(queries.OP8_SQL).fetchall())
+
+
 def test_tiles_hold_all_pairs(spark, make, write):
     rows = near_rows(write)
     whole = {(x.doc_a, x.doc_b) for x in nj.join_near(make(rows)).collect()}
