@@ -340,3 +340,16 @@ def test_expectation_maximisation_equals_a_plain_version():
                     expected[i] += fore[a] * q * back[b] / fore[-1]
         prob = (expected + li.SMOOTHING) / (expected + li.SMOOTHING).sum()
     np.testing.assert_allclose(li.fit_language([" ".join(words)], li.Pieces(pieces), 3), prob, rtol=1e-9)
+
+
+def test_limits_are_fitted_to_all_good_rows(spark, make, write):
+    import zstandard
+
+    rows = [(i, write(i, 30 + i % 3)[:150]) for i in range(1500)] + [(2000 + i, "ab" * 75) for i in range(6)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    by_step = defaultdict(list)
+    for _, t in rows:
+        by_step[cr._step(len(t))].append(len(t) / len(zstandard.ZstdCompressor(level=cr.LEVEL).compress(t.encode())))
+    want = cr.bands_of(by_step)
+    assert max(map(len, by_step.values())) > 1000
+    np.testing.assert_allclose(cr.fit_bands(make(rows), labels), want, rtol=1e-9)

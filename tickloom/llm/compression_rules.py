@@ -5,8 +5,8 @@ far better than prose of its length is repetitive, text that compresses far wors
 limits depend on the length, as short inputs compress badly whatever they hold.
 
 ``fit_bands`` takes the limits from rows labelled good: their lengths are cut into half octaves, and in each the
-limits lie beyond the quantiles ``TAIL`` and 1 - ``TAIL`` of the ratios by ``MARGIN`` times these quantiles' distance from the median. At most
-``SAMPLE`` rows of a half octave are read, taken by least hash of their id; with less than ``LEAST`` of them the fixed
+limits lie beyond the quantiles ``TAIL`` and 1 - ``TAIL`` of the ratios by ``MARGIN`` times these quantiles' distance from the median. All
+rows labelled good count; with less than ``LEAST`` of them in a half octave the fixed
 ``BANDS``, which are wide, hold there.
 
 Defined results: a null text is rejected (``null_text``); an empty or blank text is kept when
@@ -44,9 +44,9 @@ BANDS: tuple[tuple[int, float, float], ...] = (
 CHUNK_BYTES = 4096
 MAX_BAD_CHUNKS = 0.4
 LEVEL = 3
-SAMPLE = 1000
 LEAST = 30
 TAIL = 0.005
+QUANTILES = (TAIL, 0.5, 1 - TAIL)
 MARGIN = 0.75
 RESULT = "n_bytes long, ratio double, n_chunks int, bad_chunks int, reason string"
 
@@ -89,39 +89,54 @@ def _step(n: int) -> int:
     return math.floor(2 * math.log2(n) + 1e-9)
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> tuple[tuple[int, float, float], ...]:
+def fit_bands(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> tuple[tuple[int, float, float], ...]:
     """Bands as ``BANDS``, from the rows of ``docs`` that ``labels`` (id, 1 for good) calls good."""
     first = BANDS[0][0]
-    sized = docs.select(F.col(id_col).alias("id"), F.octet_length(F.col(text_col).cast("string")).alias("n")).filter(f"id is not null and n >= {first}")
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
-    step = F.floor(2 * F.log2("n") + 1e-9).cast("int")
-    rank = F.row_number().over(Window.partitionBy("step").orderBy(F.xxhash64("id"), "id"))
-    # at most ``sample`` ids a half octave, so the list can be broadcast
-    taken = sized.join(good, "id").groupBy("id").agg(F.max("n").alias("n")).withColumn("step", step).withColumn("k", rank).filter(F.col("k") <= sample).select("id")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null").join(F.broadcast(taken), "id").select("text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(f"id is not null and octet_length(text) >= {first}")
     level = LEVEL
 
     def ratios(batches):
         compressor = zstandard.ZstdCompressor(level=level)
         for batch in batches:
-            found = [(len(t), len(t) / len(compressor.compress(bytes(t)))) for t in _views(batch.column("text")) if t is not None and len(t) >= first]
-            yield pa.RecordBatch.from_arrays([pa.array([_step(n) for n, _ in found], pa.int32()), pa.array([r for _, r in found], pa.float64())], names=["step", "ratio"])
-
-    by_step: dict[int, list[float]] = {}
-    for r in texts.mapInArrow(ratios, "step int, ratio double").collect():  # at most ``sample`` a half octave
-        by_step.setdefault(r.step, []).append(r.ratio)
-    return bands_of(by_step)
+            found = [(len(t), len(t) / len(compressor.compress(bytes(t)))) for t in _views(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_step(n) for n, _ in found], pa.int32()), pa.array([r for _, r in found], pa.float64())], names=["id", "step", "ratio"])
+
+    # only ids and ratios are shuffled; of each half octave the ratios beside its quantiles come back, counted by exact rank
+    rows = texts.mapInArrow(ratios, f"id {texts.schema['id'].dataType.simpleString()}, step int, ratio double").join(good, "id", "left_semi")
+    ranked = rows.groupBy("step", "ratio").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("step").orderBy("ratio").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranked.withColumns({"end": upto, "count": F.sum("n").over(Window.partitionBy("step"))})
+    wanted = F.array(*(f(q * (F.col("count") - 1)) for q in QUANTILES for f in (F.floor, F.ceil)))
+    held = ranked.withColumn("at", F.explode(F.array_distinct(wanted))).filter("at >= end - n and at < end")
+    by_step: dict[int, dict[int, float]] = {}
+    sizes: dict[int, int] = {}
+    for r in held.select("step", "count", "at", "ratio").collect():  # at most six a half octave
+        by_step.setdefault(r.step, {})[r.at] = r.ratio
+        sizes[r.step] = r["count"]
+    return _bands({k: (sizes[k], *(_between(v, q * (sizes[k] - 1)) for q in QUANTILES)) for k, v in by_step.items()})
+
+
+def _between(ratios: dict[int, float], at: float) -> float:
+    """The value at a place between two ranks."""
+    low = ratios[math.floor(at)]
+    return low + (ratios[math.ceil(at)] - low) * (at - math.floor(at))
 
 
 def bands_of(by_step: dict[int, list[float]]) -> tuple[tuple[int, float, float], ...]:
     """Bands from the ratios of good rows by half octave, the fixed ones where these are too few."""
+    return _bands({k: (len(v), *np.quantile(v, QUANTILES)) for k, v in by_step.items()})
+
+
+def _bands(by_step: dict[int, tuple]) -> tuple[tuple[int, float, float], ...]:
+    """Bands from (count, low, middle, high) of the ratios of good rows by half octave."""
     out = {start: _limits(start, BANDS) for start, _, _ in BANDS}
     for step in range(min(by_step, default=0), max(by_step, default=-1) + 1):
-        start, found = math.ceil(2 ** (step / 2) - 1e-9), by_step.get(step, ())
-        if len(found) < LEAST:
+        start, found = math.ceil(2 ** (step / 2) - 1e-9), by_step.get(step)
+        if found is None or found[0] < LEAST:
             out[start] = _limits(start, BANDS)
         else:
-            low, middle, high = np.quantile(found, [TAIL, 0.5, 1 - TAIL])
+            low, middle, high = found[1:]
             out[start] = float(low - MARGIN * (middle - low)), float(high + MARGIN * (high - middle))
     if by_step:  # beyond the last half octave with labels
         end = math.ceil(2 ** ((max(by_step) + 1) / 2) - 1e-9)
