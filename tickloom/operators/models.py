@@ -3,37 +3,85 @@
 Linear models choose their penalty by expanding-window cross-validation. The trees are grown on
 quantile bins; they follow the same settings as the usual libraries but not their random streams,
 so they agree in distribution, not digit by digit.
+
+A refit's training rows come as a stream and lie on disk; columns and blocks of them are read again. Linear models need
+only a triangular factor of each block between fold edges, trees one byte a value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import os
+import tempfile
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.rolling import assign
 
 
+class Rows:
+    """Training rows in the order in which they are added, in a temporary file beyond ``held`` bytes; labels stay in memory."""
+
+    def __init__(self, m: int, held: int = 16 << 20):
+        self.m, self.n, self._blocks, self._y = m, 0, [], []
+        self._file = tempfile.SpooledTemporaryFile(held, dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self._blocks.append((self.n * self.m * 8, len(y)))
+        self._file.seek(0, os.SEEK_END)
+        self._file.write(np.ascontiguousarray(x.T, float).tobytes())
+        self._y.append(np.array(y, float))
+        self.n += len(y)
+
+    def _read(self, at: int, values: int) -> np.ndarray:
+        self._file.seek(at)
+        return np.frombuffer(self._file.read(values * 8))
+
+    def column(self, j: int) -> np.ndarray:
+        return np.concatenate([self._read(at + j * k * 8, k) for at, k in self._blocks]) if self._blocks else np.zeros(0)
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for at, k in self._blocks:
+            yield self._read(at, k * self.m).reshape(self.m, k).T
+
+    def labels(self) -> np.ndarray:
+        self._y = [np.concatenate(self._y)] if self._y else [np.zeros(0)]
+        return self._y[0]
+
+    def close(self) -> None:
+        self._file.close()
+
+
 class Prepared:
     """Median imputation and, for linear models and boosting, scaling by the population deviation."""
 
-    def __init__(self, x: np.ndarray, scale: bool):
-        filled = np.isfinite(x).any(0)
-        self.keep = filled
-        x = np.where(np.isfinite(x[:, filled]), x[:, filled], np.nan)
-        self.median = np.nanmedian(x, axis=0) if filled.any() else np.zeros(0)
-        x = np.where(np.isnan(x), self.median, x)
-        self.mean = x.mean(0) if scale else np.zeros(x.shape[1])
-        std = x.std(0) if scale else np.ones(x.shape[1])
-        self.std = np.where(std > 0, std, 1.0)
+    def __init__(self, rows: Rows, scale: bool):
+        self.keep, found = np.zeros(rows.m, bool), []
+        for j in range(rows.m):
+            c = rows.column(j)
+            known = np.isfinite(c)
+            if known.any():
+                self.keep[j] = True
+                middle = np.median(c[known])
+                c = np.where(known, c, middle)
+                std = c.std() if scale else 1.0
+                found.append((middle, c.mean() if scale else 0.0, std if std > 0 else 1.0))
+        self.median, self.mean, self.std = np.array(found).reshape(-1, 3).T
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         x = x[:, self.keep]
         return (np.where(np.isfinite(x), x, self.median) - self.mean) / self.std
 
+    def columns(self, rows: Rows) -> Iterator[np.ndarray]:
+        """The kept columns, imputed and scaled, one after the other."""
+        for i, j in enumerate(np.flatnonzero(self.keep)):
+            c = rows.column(j)
+            yield (np.where(np.isfinite(c), c, self.median[i]) - self.mean[i]) / self.std[i]
+
 
 def expanding_folds(n: int, folds: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
     """The last ``folds`` blocks of n // (folds + 1) rows, each tested on all rows before it."""
@@ -128,82 +176,181 @@ def fit_linear(name: str, x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray]
     return lambda z: z @ w + c
 
 
+WIDTH = 64  # bins of a column
+DIRECT = 4096  # nodes of no more rows are counted a column at a time
+
+
+class Bins:
+    """Binned columns two by two: 64 times the bin of the first plus that of the second; the last may have no partner."""
+
+    def __init__(self, n: int, columns: Iterator[np.ndarray] = iter(())):
+        self.edges, self.n, pairs = [], n, []
+        for j, c in enumerate(columns):
+            e = np.unique(np.quantile(c, np.linspace(0, 1, WIDTH)[1:-1]))
+            self.edges.append(e)
+            b = np.searchsorted(e, c).astype(np.uint16)
+            if j % 2:
+                pairs[-1] += b
+            else:
+                pairs.append(b * np.uint16(WIDTH))
+        self.pairs = np.stack(pairs) if pairs else np.zeros((0, n), np.uint16)
+
+    def column(self, j: int, rows: np.ndarray | None) -> np.ndarray:
+        p = self.pairs[j // 2] if rows is None else self.pairs[j // 2].take(rows)
+        return p % WIDTH if j % 2 else p // WIDTH
+
+    def histograms(self, rows: np.ndarray | None, y: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and labels by column and bin; ``y`` and ``weight`` are those of the rows."""
+        m = 2 * len(self.pairs)
+        if len(y) <= DIRECT:
+            p = self.pairs if rows is None else self.pairs.take(rows, axis=1)
+            flat = np.stack([p // WIDTH, p % WIDTH], 1).reshape(m, -1) + np.arange(0, m * WIDTH, WIDTH)[:, None]
+            sums = lambda v: np.bincount(flat.ravel(), None if v is None else np.tile(v, m), m * WIDTH).reshape(m, WIDTH)
+            return sums(weight), sums(y)
+        count, total = np.empty((m, WIDTH)), np.empty((m, WIDTH))
+        for i, p in enumerate(self.pairs):
+            code = (p if rows is None else p.take(rows)).astype(np.intp)
+            for out, v in ((count, weight), (total, y)):
+                both = np.bincount(code, v, WIDTH * WIDTH).reshape(WIDTH, WIDTH)
+                out[2 * i], out[2 * i + 1] = both.sum(1), both.sum(0)
+        return count, total
+
+
 class Tree:
-    """A regression tree on binned columns; splits maximise the drop of squared error."""
+    """A regression tree on binned columns; splits maximise the drop of squared error.
+
+    ``draws`` are the rows that it is grown on, with repeats, or all; ``fitted`` gets the value of each row's leaf. Rows are
+    counted once with their number of draws, and of two large children the smaller is counted, the other is what is left of
+    their parent. Splits that this leaves within rounding of the best are summed again draw by draw, so that the same one
+    is taken as if all were.
+    """
 
-    def __init__(self, bins: np.ndarray, y: np.ndarray, rows: np.ndarray, depth: int, least: int, shrink: float = 0.0, width: int = 64):
-        self.split, self.value = {}, {}
-        m = bins.shape[1]
-        offset = np.arange(m) * width
-        stack = [(1, rows, depth)]
+    def __init__(self, bins: Bins, y: np.ndarray, depth: int, least: int, shrink: float = 0.0, draws: np.ndarray | None = None, fitted: np.ndarray | None = None):
+        self.depth, labels, weight = depth, y, None
+        if draws is not None:
+            self._draws = draws, np.argsort(draws, kind="stable")
+            times = np.bincount(draws, minlength=len(y))
+            self._spans = np.cumsum(times) - times, times
+            weight = times.astype(float)
+            y = weight * y
+        self.feature, self.cut, self.value = np.zeros(2 << depth, np.intp), np.full(2 << depth, WIDTH, np.intp), np.zeros(2 << depth)
+        stack = [(1, None if weight is None else np.flatnonzero(weight), depth, None)]
         while stack:
-            node, rows, left = stack.pop()
-            t, n = y[rows].sum(), len(rows)
+            node, rows, left, known = stack.pop()
+            own = y if rows is None else y.take(rows)
+            many = None if weight is None else weight.take(rows)
+            t, n = own.sum(), len(own) if many is None else many.sum()
             self.value[node] = t / (n + shrink)
-            if not left or n < 2 * least:
-                continue
-            flat = (bins[rows] + offset).ravel()
-            count = np.bincount(flat, minlength=m * width).reshape(m, width).cumsum(1)
-            total = np.bincount(flat, np.repeat(y[rows], m), m * width).reshape(m, width).cumsum(1)
-            other, rest = n - count, t - total
-            ok = (count >= least) & (other >= least)
-            gain = np.where(ok, total**2 / np.maximum(count + shrink, 1e-12) + rest**2 / np.maximum(other + shrink, 1e-12), -np.inf)
-            best = int(np.argmax(gain))
-            if not gain.flat[best] > t * t / (n + shrink) + 1e-15:
-                continue
-            j, b = divmod(best, width)
-            self.split[node] = (j, b)
-            low = bins[rows, j] <= b
-            stack += [(2 * node, rows[low], left - 1), (2 * node + 1, rows[~low], left - 1)]
-
-    def predict(self, bins: np.ndarray) -> np.ndarray:
-        out = np.empty(len(bins))
-        stack = [(1, np.arange(len(bins)))]
-        while stack:
-            node, rows = stack.pop()
-            if node not in self.split:
-                out[rows] = self.value[node]
+            split = None
+            if left and n >= 2 * least and len(bins.pairs):
+                known = known or bins.histograms(rows, own, many)
+                split, near = self._best(*known, t, n, least, shrink)
+                if len(near):
+                    again = rows if draws is None else self._drawn(rows)
+                    split = self._exact(bins, labels, near, again, least, shrink)
+            if split is None:
+                if fitted is not None:
+                    fitted[slice(None) if rows is None else rows] = self.value[node]
+                for k in range(1, left + 1):  # below a leaf all rows go left
+                    self.value[node << k] = self.value[node]
                 continue
-            j, b = self.split[node]
-            low = bins[rows, j] <= b
-            stack += [(2 * node, rows[low]), (2 * node + 1, rows[~low])]
-        return out
-
-
-def _edges(x: np.ndarray, width: int = 64) -> list[np.ndarray]:
-    return [np.unique(np.quantile(c, np.linspace(0, 1, width)[1:-1])) for c in x.T]
+            j, b = self.feature[node], self.cut[node] = split
+            low = bins.column(j, rows) <= b
+            halves = [np.flatnonzero(v) if rows is None else rows[v] for v in (low, ~low)]
+            found = [None, None]
+            if left > 1 and len(own) > DIRECT:
+                small = int(len(halves[1]) < len(halves[0]))
+                at = halves[small]
+                part = bins.histograms(at, y.take(at), None if weight is None else weight.take(at))
+                other = known[0] - part[0]
+                found[small], found[1 - small] = part, (other, np.where(other > 0, known[1] - part[1], 0.0))
+            stack += [(2 * node + i, halves[i], left - 1, found[i]) for i in (0, 1)]
+
+    def drop_draws(self) -> Tree:
+        self._draws = self._spans = None
+        return self
+
+    @staticmethod
+    def _gain(count: np.ndarray, total: np.ndarray, t: float, n: float, least: int, shrink: float) -> np.ndarray:
+        count, total = count.cumsum(1), total.cumsum(1)
+        other, rest = n - count, t - total
+        ok = (count >= least) & (other >= least)
+        return np.where(ok, total**2 / np.maximum(count + shrink, 1e-12) + rest**2 / np.maximum(other + shrink, 1e-12), -np.inf)
+
+    @classmethod
+    def _best(cls, count: np.ndarray, total: np.ndarray, t: float, n: float, least: int, shrink: float) -> tuple[tuple[int, int] | None, np.ndarray]:
+        """The split, and the columns of those that rounding may hide behind it."""
+        gain, whole = cls._gain(count, total, t, n, least, shrink), t * t / (n + shrink)
+        best = int(np.argmax(gain))
+        top = gain.flat[best]
+        if top == -np.inf:
+            return None, np.zeros(0, int)
+        slack = 1e-9 * max(top, whole)
+        close = (gain >= top - slack) & (count > 0)  # an empty bin is exactly like the one before
+        near = np.flatnonzero(close.any(1)) if close.sum() > 1 or abs(top - whole) <= slack + 1e-15 else np.zeros(0, int)
+        return divmod(best, WIDTH) if top > whole + 1e-15 else None, near
+
+    def _drawn(self, rows: np.ndarray) -> np.ndarray:
+        """All draws of the rows, in their order."""
+        (draws, order), (first, times) = self._draws, self._spans
+        many = times.take(rows)
+        ends = many.cumsum()
+        at = np.repeat(first.take(rows) - (ends - many), many) + np.arange(ends[-1])
+        return draws.take(np.sort(order.take(at)))
+
+    def _exact(self, bins: Bins, y: np.ndarray, near: np.ndarray, rows: np.ndarray | None, least: int, shrink: float) -> tuple[int, int] | None:
+        own = y if rows is None else y.take(rows)
+        codes = [bins.column(j, rows).astype(np.intp) for j in near]
+        count, total = (np.stack([np.bincount(c, v, minlength=WIDTH) for c in codes]) for v in (None, own))
+        t, n = own.sum(), len(own)
+        gain = self._gain(count, total, t, n, least, shrink)
+        j, b = divmod(int(np.argmax(gain)), WIDTH)
+        return (int(near[j]), b) if gain[j, b] > t * t / (n + shrink) + 1e-15 else None
+
+    def predict(self, binned: np.ndarray) -> np.ndarray:
+        """Of rows of bins, one column each."""
+        n, m = binned.shape
+        if not m:
+            return np.full(n, self.value[1])
+        flat, first, node = binned.ravel(), np.arange(0, n * m, m), np.ones(n, np.intp)
+        for _ in range(self.depth):
+            node = 2 * node + (flat.take(first + self.feature.take(node)) > self.cut.take(node))
+        return self.value.take(node)
 
 
 def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(e, c) for e, c in zip(edges, x.T)], 1) if edges else np.zeros((len(x), 0), np.int64)
+    return np.stack([np.searchsorted(e, c).astype(np.uint8) for e, c in zip(edges, x.T)], 1) if edges else np.zeros((len(x), 0), np.uint8)
 
 
-def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 8, least: int = 20, seed: int = 42) -> Callable[[np.ndarray], np.ndarray]:
+def fit_forest(bins: Bins, y: np.ndarray, trees: int = 100, depth: int = 8, least: int = 20, seed: int = 42) -> Callable[[np.ndarray], np.ndarray]:
     """Bagged trees on all columns."""
-    rng, edges = np.random.default_rng(seed), _edges(x)
-    bins = _binned(x, edges)
-    grown = [Tree(bins, y, rng.integers(0, len(y), len(y)), depth, least) for _ in range(trees)]
+    rng, edges, grown = np.random.default_rng(seed), bins.edges, []
+    for _ in range(trees):
+        t = Tree(bins, y, depth, least, draws=rng.integers(0, len(y), len(y)))
+        grown.append(t.drop_draws())
 
     def predict(z: np.ndarray) -> np.ndarray:
-        held = _binned(z, edges)
-        return np.mean([t.predict(held) for t in grown], axis=0)
+        held, out = _binned(z, edges), np.zeros(len(z))
+        for t in grown:
+            out += t.predict(held)
+        return out / trees
 
     return predict
 
 
-def fit_boosting(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 4, rate: float = 0.01, shrink: float = 1.0) -> Callable[[np.ndarray], np.ndarray]:
+def fit_boosting(bins: Bins, y: np.ndarray, trees: int = 100, depth: int = 4, rate: float = 0.01, shrink: float = 1.0) -> Callable[[np.ndarray], np.ndarray]:
     """Squared-error boosting from the mean, with leaf weights shrunk by one row."""
-    edges = _edges(x)
-    bins, base, rows = _binned(x, edges), float(y.mean()), np.arange(len(y))
-    rest, grown = y - base, []
+    edges, base, fitted, grown = bins.edges, float(y.mean()), np.empty(len(y)), []
+    rest = y - base
     for _ in range(trees):
-        t = Tree(bins, rest, rows, depth, 1, shrink)
-        rest = rest - rate * t.predict(bins)
-        grown.append(t)
+        grown.append(Tree(bins, rest, depth, 1, shrink, fitted=fitted))
+        rest -= rate * fitted
 
     def predict(z: np.ndarray) -> np.ndarray:
-        held = _binned(z, edges)
-        return base + rate * np.sum([t.predict(held) for t in grown], axis=0)
+        held, out = _binned(z, edges), np.zeros(len(z))
+        for t in grown:
+            out += t.predict(held)
+        return base + rate * out
 
     return predict
 
@@ -211,16 +358,26 @@ def fit_boosting(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 4,
 MODELS = ("Lasso", "Ridge", "ElasticNet", "RandomForest", "XGBoost")
 
 
-def fit(name: str, x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+def fit_rows(name: str, rows: Rows) -> Callable[[np.ndarray], np.ndarray]:
     """A predictor on raw columns."""
     if name not in MODELS:
         raise ValueError(f"no such model: {name}")
-    prepared = Prepared(x, scale=name != "RandomForest")
-    z = prepared(x)
-    inner = fit_forest(z, y) if name == "RandomForest" else fit_boosting(z, y) if name == "XGBoost" else fit_linear(name, z, y)
+    prepared, y = Prepared(rows, scale=name != "RandomForest"), rows.labels()
+    if name in ("RandomForest", "XGBoost"):
+        bins = Bins(rows.n, prepared.columns(rows))
+        inner = fit_forest(bins, y) if name == "RandomForest" else fit_boosting(bins, y)
+    else:
+        inner = fit_linear(name, np.concatenate([prepared(x) for x in rows.blocks()]), y)
     return lambda v: inner(prepared(v))
 
 
+def fit(name: str, x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A predictor on raw columns."""
+    rows = Rows(x.shape[1])
+    rows.add(x, y)
+    return fit_rows(name, rows)
+
+
 def valid_labels(df: DataFrame, ts: str, y: str) -> DataFrame:
     """The rows with a time and a finite label."""
     return df.filter(f"{ts} is not null and {y} is not null and not isnan({y}) and abs({y}) <> double('inf')")
@@ -229,24 +386,35 @@ def valid_labels(df: DataFrame, ts: str, y: str) -> DataFrame:
 def rolling_predict(df: DataFrame, features: Sequence[str], models: Sequence[str] = MODELS, groups: Sequence[str] = ("date",), ts: str = "trade_ts", y: str = "y_5s_ret", train: int = 1_800_000_000_000, step: int = 300_000_000_000, least: int = 200, keep: Sequence[str] = (), purge: int = 0) -> DataFrame:
     """(keep, groups, ts, y, refit, model, y_pred): every row that a refit predicts, once a model.
 
-    A task holds one refit's rows; all refits of all groups are one shuffle and no job of their own.
+    All refits of all groups are one shuffle and no job of their own. A refit's rows are sorted, those that train it before those that
+    it predicts, and come batch by batch, so that no task holds them all; ties follow the features.
     """
     own = list(dict.fromkeys([*keep, *groups, ts, y]))
     clean = valid_labels(df, ts, y)
     rows = assign(clean.select(*own, *features), groups, ts, train, step, purge)
     schema = T.StructType([clean.schema[c] for c in own] + [T.StructField("refit", T.LongType()), T.StructField("model", T.StringType()), T.StructField("y_pred", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tests = pdf["test"].to_numpy(bool)
-        a, b = pdf[~tests].sort_values([ts, *own]), pdf[tests]
-        if len(a) < least or not len(b):
-            return pd.DataFrame({f.name: [] for f in schema}, dtype=object)
-        x, v = a[list(features)].to_numpy(float), b[list(features)].to_numpy(float)
-        out = []
-        for name in models:
-            part = b[[*own, "refit"]].copy()
-            part["model"], part["y_pred"] = name, fit(name, x, a[y].to_numpy(float))(v)
-            out.append(part)
-        return pd.concat(out)
-
-    return rows.groupBy(*groups, "refit").applyInPandas(run, schema)
+    values = [F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate([*features, y])]
+    order = [*groups, "refit", "test", *(F.col(c).asc_nulls_last() for c in dict.fromkeys([ts, *own]) if c not in groups), *(f"__x{i}" for i in range(len(features)))]
+    sorted_ = rows.select(*own, "refit", "test", *values).repartition(*groups, "refit").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fitted = Rows(len(features)), None
+        for batch in batches:
+            x = np.empty((batch.num_rows, len(features) + 1))
+            for i in range(x.shape[1]):
+                x[:, i] = batch.column(f"__x{i}").to_numpy(zero_copy_only=False)
+            tests = batch.column("test").to_numpy(zero_copy_only=False)
+            if not tests.all():
+                if fitted is not None:
+                    raise ValueError("a refit's training rows must come before those that it predicts")
+                held.add(x[~tests, :-1], x[~tests, -1])
+            if tests.any() and held.n >= least:
+                if fitted is None:
+                    fitted = {name: fit_rows(name, held) for name in models}
+                    held.close()
+                part = batch.filter(pa.array(tests))
+                for name, predict in fitted.items():
+                    found = [*(part.column(c) for c in (*own, "refit")), pa.array([name] * part.num_rows), pa.array(predict(x[tests, :-1]))]
+                    yield pa.RecordBatch.from_arrays(found, names=schema.names)
+
+    return sorted_.groupBy(*groups, "refit").applyInArrow(run, schema)
