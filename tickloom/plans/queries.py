@@ -403,13 +403,14 @@ def min_group_rows(spark, d):
 QUOTE_SQL = "select symbol as ticker, cast(k % 3 as integer) as ask_exchange, k * 1.5e0 as ask_price, k as ask_size, cast(k % 4 as integer) as bid_exchange, k * 1.25e0 as bid_price, k % 7 as bid_size, event_id as sequence_number, t * 1000 as sip_timestamp from symbols"
 
 
-def quote_file(spark, d, files: int = 3) -> str:
+def quote_file(spark, d, files: int | None = 3) -> str:
+    """Quotes in so many files, or in as many as it takes, one after the other by sequence number."""
     k, path = F.col("k"), io.scratch(spark, "quotes.csv")
     x = symbols(spark, d).select(
         F.lit("x").alias("tape"), F.col("symbol").alias("ticker"), (k % 3).alias("ask_exchange"), (k * 1.5).alias("ask_price"), k.alias("ask_size"), (k % 4).alias("bid_exchange"),
         (k * 1.25).alias("bid_price"), (k % 7).alias("bid_size"), F.col("event_id").alias("sequence_number"), (F.col("t") * 1000).alias("sip_timestamp"),
     )
-    x = x.repartition(files) if files > 1 else x.coalesce(1).sortWithinPartitions("sequence_number")
+    x = x.repartition(files) if files else x.orderBy("sequence_number")
     x.write.csv(path, header=True, compression="gzip")
     return path
 
@@ -423,7 +424,7 @@ def csv_to_parquet(spark, d):
 
 @query("select event_id as sequence_number from events order by event_id limit 50")
 def csv_first_rows(spark, d):
-    return io.load_quotes(spark, quote_file(spark, d, 1), rows=50).select("sequence_number")
+    return io.load_quotes(spark, quote_file(spark, d, None), rows=50).select("sequence_number")
 
 
 @query(f"with {EV}, {SYMBOL_SQL} select symbol as ticker, k * 0.25e0 as price, k as size, upper(symbols.event_type) as underlying, cast(ts as date) as date, cast(ts as date) as expiry, case when k % 2 = 0 then 'C' else 'P' end as cp_flag, k + 0.5e0 as strike from symbols join events using (event_id) where symbols.event_type in ('click', 'signup')")
