@@ -80,3 +80,23 @@ def counted(monkeypatch, name, n, m):
 def test_forest_counts_a_fraction_of_its_draws(monkeypatch):
     n, m = 60000, 6
     assert counted(monkeypatch, "RandomForest", n, m) < 0.4 * 100 * 8 * 2 * n * m
+
+
+@pytest.mark.parametrize("n,copies", [(500, 5), (12000, 1), (12000, 12)])
+def test_boosting_takes_the_splits_of_plain_trees(n, copies):
+    x, y, z = tied(n, copies)
+    bins = models.Bins(n, iter(x.T))
+    got = models.fit_boosting(bins, y, trees=4)(z)
+    flat = np.stack([np.searchsorted(e, c) for e, c in zip(bins.edges, x.T)], 1)
+    held = np.stack([np.searchsorted(e, c) for e, c in zip(bins.edges, z.T)], 1)
+    rest, want = y - y.mean(), np.full(len(z), y.mean())
+    for _ in range(4):
+        tree = plain_tree(flat, rest, np.arange(n), 4, 1, 1.0)
+        rest = rest - 0.01 * np.array([plain_leaf(tree, row) for row in flat])
+        want += 0.01 * np.array([plain_leaf(tree, row) for row in held])
+    np.testing.assert_allclose(got, want, rtol=1e-12)
+
+
+def test_boosting_counts_a_fraction_of_its_rows(monkeypatch):
+    n, m = 60000, 6
+    assert counted(monkeypatch, "XGBoost", n, m) < 0.4 * 100 * 4 * 2 * n * m

@@ -193,26 +193,30 @@ class Bins:
                 pairs[-1] += b
             else:
                 pairs.append(b * np.uint16(WIDTH))
-        self.pairs = np.stack(pairs) if pairs else np.zeros((0, n), np.uint16)
+        self.pairs, self._whole = np.stack(pairs) if pairs else np.zeros((0, n), np.uint16), None
 
     def column(self, j: int, rows: np.ndarray | None) -> np.ndarray:
         p = self.pairs[j // 2] if rows is None else self.pairs[j // 2].take(rows)
         return p % WIDTH if j % 2 else p // WIDTH
 
     def histograms(self, rows: np.ndarray | None, y: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and labels by column and bin; ``y`` and ``weight`` are those of the rows."""
+        """Weights and labels by column and bin; ``y`` and ``weight`` are those of the rows. All rows without weights are counted once for all trees."""
         m = 2 * len(self.pairs)
         if len(y) <= DIRECT:
             p = self.pairs if rows is None else self.pairs.take(rows, axis=1)
             flat = np.stack([p // WIDTH, p % WIDTH], 1).reshape(m, -1) + np.arange(0, m * WIDTH, WIDTH)[:, None]
             sums = lambda v: np.bincount(flat.ravel(), None if v is None else np.tile(v, m), m * WIDTH).reshape(m, WIDTH)
             return sums(weight), sums(y)
-        count, total = np.empty((m, WIDTH)), np.empty((m, WIDTH))
+        whole = rows is None and weight is None
+        counted = whole and self._whole is not None
+        count, total = self._whole if counted else np.empty((m, WIDTH)), np.empty((m, WIDTH))
         for i, p in enumerate(self.pairs):
             code = (p if rows is None else p.take(rows)).astype(np.intp)
-            for out, v in ((count, weight), (total, y)):
+            for out, v in ((total, y),) if counted else ((count, weight), (total, y)):
                 both = np.bincount(code, v, WIDTH * WIDTH).reshape(WIDTH, WIDTH)
                 out[2 * i], out[2 * i + 1] = both.sum(1), both.sum(0)
+        if whole:
+            self._whole = count
         return count, total
 
 
