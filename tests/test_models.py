@@ -1,9 +1,12 @@
 """The models at size: what they count and hold, and that their results are those of plain versions."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
 from tickloom.operators import models
+from tickloom.sources import io
 
 
 def plain_tree(bins, y, rows, depth, least, shrink):
@@ -100,3 +103,43 @@ def test_boosting_takes_the_splits_of_plain_trees(n, copies):
 def test_boosting_counts_a_fraction_of_its_rows(monkeypatch):
     n, m = 60000, 6
     assert counted(monkeypatch, "XGBoost", n, m) < 0.4 * 100 * 4 * 2 * n * m
+
+
+@pytest.mark.parametrize("name", models.MODELS)
+def test_blocks_of_rows_fit_like_all_at_once(name):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((1003, 5))
+    y = 2 * x[:, 0] - x[:, 1] + 0.3 * r.standard_normal(1003)
+    x[r.random(x.shape) < 0.03] = np.nan
+    x[:, 4] = np.nan
+    rows = models.Rows(5, held=1000)
+    for at in range(0, 1003, 97):
+        rows.add(x[at : at + 97], y[at : at + 97])
+    np.testing.assert_allclose(models.fit_rows(name, rows)(x[:200]), models.fit(name, x, y)(x[:200]), rtol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["Ridge", "Lasso", "ElasticNet"])
+def test_linear_fits_hold_a_fraction_of_their_rows(name):
+    n, m, r = 8000, 24, np.random.default_rng(0)
+    tracemalloc.start()
+    rows = models.Rows(m, held=1 << 20)
+    for _ in range(25):
+        x = r.standard_normal((n, m))
+        rows.add(x, x[:, 0] + r.standard_normal(n))
+    models.fit_rows(name, rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 0.5 * 25 * n * m * 8
+
+
+def test_batches_of_any_size_give_the_same_predictions(spark):
+    rows = [("d", (i * 7919) % 6000, i, float(i % 7), float(i % 11) / 10 + i % 7) for i in range(600)]
+    df = spark.createDataFrame(rows, "date string, trade_ts bigint, ticker int, f double, y_5s_ret double")
+    found = []
+    for most in ("7", "10000"):
+        with io.setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", most):
+            got = models.rolling_predict(df, ["f"], ["Ridge", "RandomForest"], train=1800, step=300, least=50, keep=["ticker"])
+            assert got.columns == ["ticker", "date", "trade_ts", "y_5s_ret", "refit", "model", "y_pred"]
+            found.append({(v.ticker, v.model): (v.refit, v.y_pred) for v in got.collect()})
+    assert len(found[0]) == 2 * sum(t >= 1800 for _, t, *_ in rows) and found[0].keys() == found[1].keys()
+    assert all(found[0][k][0] == v[0] and abs(found[0][k][1] - v[1]) < 1e-9 for k, v in found[1].items())

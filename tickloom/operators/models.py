@@ -92,14 +92,54 @@ def expanding_folds(n: int, folds: int = 3) -> list[tuple[np.ndarray, np.ndarray
 
 def ridge(x: np.ndarray, y: np.ndarray, alphas: Sequence[float]) -> list[tuple[np.ndarray, float]]:
     """(coefficients, intercept) for each alpha, minimising squares + alpha |w|^2, from one decomposition."""
-    mx, my = x.mean(0), y.mean()
-    u, s, vt = np.linalg.svd(x - mx, full_matrices=False)
-    p = u.T @ (y - my)
-    out = []
-    for a in alphas:
-        w = vt.T @ (p * s / (s * s + a))
-        out.append((w, my - mx @ w))
-    return out
+    return Factor.of(x, y).solve(_ridge, alphas)
+
+
+class Factor:
+    """The triangular factor of the columns 1, x and y of some rows: sums of squares over the rows are the same over it."""
+
+    def __init__(self, m: int):
+        self.n, self.r = 0, np.zeros((0, m + 2))
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray) -> Factor:
+        f = cls(x.shape[1])
+        f.add(x, y)
+        return f
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self._put(np.column_stack([np.ones(len(y)), x, y]), len(y))
+
+    def _put(self, rows: np.ndarray, n: int) -> None:
+        self.r, self.n = np.linalg.qr(np.concatenate([self.r, rows]), mode="r"), self.n + n
+
+    @classmethod
+    def joined(cls, parts: Sequence[Factor]) -> Factor:
+        f = cls(parts[0].r.shape[1] - 2)
+        for p in parts:
+            f._put(p.r, p.n)
+        return f
+
+    def centred(self) -> tuple[np.ndarray, np.ndarray]:
+        """Few rows that stand for those of x and y without their means."""
+        return self.r[1:, 1:-1], self.r[1:, -1]
+
+    def solve(self, path: Callable, alphas: Sequence[float]) -> list[tuple[np.ndarray, float]]:
+        """(coefficients, intercept) for each alpha of a path over (centred x, centred y, number of rows, alphas)."""
+        x, y = self.centred()
+        mean = self.r[0] / self.r[0, 0]
+        return [(w, float(mean[-1] - mean[1:-1] @ w)) for w in path(x, y, self.n, alphas)]
+
+    def squares(self, w: np.ndarray, c: float) -> float:
+        """Of the rows' distances from x @ w + c."""
+        d = self.r @ np.concatenate([[-c], -w, [1.0]])
+        return float(d @ d)
+
+
+def _ridge(x: np.ndarray, y: np.ndarray, n: int, alphas: Sequence[float]) -> list[np.ndarray]:
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    p = u.T @ y
+    return [vt.T @ (p * s / (s * s + a)) for a in alphas]
 
 
 def _duality_gap(w: np.ndarray, q: np.ndarray, grad: np.ndarray, energy: float, l1: float, l2: float) -> float:
@@ -113,9 +153,11 @@ def _duality_gap(w: np.ndarray, q: np.ndarray, grad: np.ndarray, energy: float,
 
 def enet_path(x: np.ndarray, y: np.ndarray, alphas: Sequence[float], l1: float, most: int = 20000, tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
     """Coordinate descent on squares / 2n + alpha (l1 |w|_1 + (1 - l1) |w|^2 / 2), warm from alpha to alpha."""
-    n, m = x.shape
-    mx, my = x.mean(0), y.mean()
-    xc, yc = x - mx, y - my
+    return Factor.of(x, y).solve(lambda *a: _enet(*a, l1, most, tol), alphas)
+
+
+def _enet(xc: np.ndarray, yc: np.ndarray, n: int, alphas: Sequence[float], l1: float, most: int = 20000, tol: float = 1e-4) -> list[np.ndarray]:
+    m = xc.shape[1]
     gram, q = xc.T @ xc / n, xc.T @ yc / n
     w, out = np.zeros(m), []
     diag, energy = np.diag(gram).copy(), float(yc @ yc) / n
@@ -135,26 +177,17 @@ def enet_path(x: np.ndarray, y: np.ndarray, alphas: Sequence[float], l1: float,
                 widest, biggest = max(widest, abs(new - old)), max(biggest, abs(new))
             if (widest <= tol * biggest or biggest == 0) and _duality_gap(w, q, grad, energy, a * l1, a * (1 - l1)) <= tol * energy:
                 break
-        out.append((w.copy(), my - mx @ w))
+        out.append(w.copy())
     return out
 
 
 def alpha_grid(x: np.ndarray, y: np.ndarray, n: int, l1: float, eps: float = 1e-3) -> np.ndarray:
-    top = np.abs((x - x.mean(0)).T @ (y - y.mean())).max(initial=0) / (len(y) * l1)
-    return np.geomspace(top, top * eps, n) if top > 0 else np.full(n, np.finfo(float).resolution)
+    return _grid(*Factor.of(x, y).centred(), len(y), n, l1, eps)
 
 
-def _chosen(x, y, alphas, path: Callable, score: Callable, per_fold: Callable | None = None) -> tuple[np.ndarray, float]:
-    total = np.zeros(len(alphas))
-    for a, b in expanding_folds(len(y)):
-        for k, (w, c) in enumerate(path(x[a], y[a], alphas)):
-            total[k] += score(y[b], x[b] @ w + c)
-    best = int(np.argmax(total))
-    return path(x, y, alphas[: best + 1] if path is not _ridge_path else alphas[best : best + 1])[-1]
-
-
-def _ridge_path(x, y, alphas):
-    return ridge(x, y, alphas)
+def _grid(xc: np.ndarray, yc: np.ndarray, rows: int, n: int, l1: float, eps: float = 1e-3) -> np.ndarray:
+    top = np.abs(xc.T @ yc).max(initial=0) / (rows * l1)
+    return np.geomspace(top, top * eps, n) if top > 0 else np.full(n, np.finfo(float).resolution)
 
 
 def r2(y: np.ndarray, p: np.ndarray) -> float:
@@ -162,17 +195,41 @@ def r2(y: np.ndarray, p: np.ndarray) -> float:
     return 1 - sse / sst if sst else float(sse == 0)
 
 
-def _mse(y: np.ndarray, p: np.ndarray) -> float:
-    return -float(((y - p) ** 2).mean())
+def factors(rows: Rows, prepared: Prepared) -> list[Factor]:
+    """Of the rows between the edges of the expanding folds, in order: what trains first, then the tested blocks."""
+    n, m = rows.n, int(prepared.keep.sum())
+    edges = [b[0] for _, b in expanding_folds(n)] + [n]
+    out, y, at, k = [Factor(m)], rows.labels(), 0, 0
+    for x in rows.blocks():
+        first, last = 0, len(x)
+        while first < last:
+            if at == edges[k]:
+                out.append(Factor(m))
+                k += 1
+            to = min(last, first + edges[k] - at)
+            out[-1].add(prepared(x[first:to]), y[at : at + to - first])
+            first, at = to, at + to - first
+    return out
 
 
-def fit_linear(name: str, x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+def fit_linear(name: str, rows: Rows, prepared: Prepared) -> Callable[[np.ndarray], np.ndarray]:
+    """Each fold trains on the blocks before the one that it is tested on."""
+    parts, y = factors(rows, prepared), rows.labels()
+    whole = Factor.joined(parts)
     if name == "Ridge":
-        w, c = _chosen(x, y, np.logspace(-3, 3, 50), _ridge_path, r2)
+        alphas, path = np.logspace(-3, 3, 50), _ridge
     else:
         l1, n = (1.0, 50) if name == "Lasso" else (0.5, 100)
-        path = lambda a, b, alphas: enet_path(a, b, alphas, l1)
-        w, c = _chosen(x, y, alpha_grid(x, y, n, l1), path, _mse)
+        alphas, path = _grid(*whole.centred(), whole.n, n, l1), lambda *a: _enet(*a, l1)
+    total, at = np.zeros(len(alphas)), parts[0].n
+    for i, test in enumerate(parts[1:], 1):
+        held, at = y[at : at + test.n], at + test.n
+        sst = float(((held - held.mean()) ** 2).sum())
+        for k, (w, c) in enumerate(Factor.joined(parts[:i]).solve(path, alphas)):
+            sse = test.squares(w, c)
+            total[k] += -sse / test.n if name != "Ridge" else 1 - sse / sst if sst else float(sse == 0)
+    best = int(np.argmax(total))
+    w, c = whole.solve(path, alphas[best : best + 1] if name == "Ridge" else alphas[: best + 1])[-1]
     return lambda z: z @ w + c
 
 
@@ -371,7 +428,7 @@ def fit_rows(name: str, rows: Rows) -> Callable[[np.ndarray], np.ndarray]:
         bins = Bins(rows.n, prepared.columns(rows))
         inner = fit_forest(bins, y) if name == "RandomForest" else fit_boosting(bins, y)
     else:
-        inner = fit_linear(name, np.concatenate([prepared(x) for x in rows.blocks()]), y)
+        inner = fit_linear(name, rows, prepared)
     return lambda v: inner(prepared(v))
 
 
@@ -412,7 +469,7 @@ def rolling_predict(df: DataFrame, features: Sequence[str], models: Sequence[str
                 if fitted is not None:
                     raise ValueError("a refit's training rows must come before those that it predicts")
                 held.add(x[~tests, :-1], x[~tests, -1])
-            if tests.any() and held.n >= least:
+            if tests.any() and held.n >= max(least, 1):
                 if fitted is None:
                     fitted = {name: fit_rows(name, held) for name in models}
                     held.close()
